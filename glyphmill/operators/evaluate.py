@@ -87,7 +87,8 @@ def linear_probe(
     single pass over the table: ``(experiment, key, label, prediction)``.
     """
     features = labelled.select(key, "label", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    training = drawn.select("experiment", key).join(features, key).cache()
+    # A small sample read by every iteration: AQE leaves it in as few pieces as its size asks for.
+    training = drawn.select("experiment", key).join(features, key).repartition("experiment", "label").cache()
     experiments = [row.experiment for row in training.select("experiment").distinct().orderBy("experiment").collect()]
     predicted = features
     for experiment in experiments:

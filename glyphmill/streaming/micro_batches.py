@@ -34,8 +34,10 @@ def embed_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        vectors = embed(batch, vocabulary, encoder, keys=keys, **options)
+        kept = batch.persist()  # read twice: for its words, and for its vectors
+        vectors = embed(kept, vocabulary, encoder, keys=keys, **options)
         vectors.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kept.unpersist()
 
     writer = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
