@@ -7,6 +7,7 @@ ids; the worker opens the model once and runs it on consecutive chunks.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -35,6 +36,16 @@ class Encoder(Protocol):
         ...
 
 
+@lru_cache(maxsize=2)
+def _open_session(path: str, threads: int):
+    """The session of a model file, opened once per Python worker and kept between tasks."""
+    import onnxruntime
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = threads
+    return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+
+
 class OnnxEncoder:
     """An ONNX text model. Inputs are bound by name, the first output is used.
 
@@ -43,15 +54,11 @@ class OnnxEncoder:
     """
 
     def __init__(self, path: str, threads: int = 1):
-        self.path, self.threads, self.session = path, threads, None
+        self.path, self.threads = path, threads  # a Spark task has one core unless told otherwise
 
     def load(self) -> None:
-        import onnxruntime
-
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = self.threads  # a Spark task has one core unless told otherwise
         path = self.path if "/" in self.path else SparkFiles.get(self.path)
-        self.session = onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+        self.session = _open_session(path, self.threads)
 
     def __call__(self, input_ids, token_type_ids, attention_mask):
         given = {"input_ids": input_ids, "token_type_ids": token_type_ids, "attention_mask": attention_mask}
@@ -83,19 +90,49 @@ def _as_lists(vectors: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(vectors.astype(np.float32).ravel()))
 
 
-def _embedding_udf(encoder: Encoder, pad_id: int, batch_size: int | None = None, length: int = MAX_LENGTH):
-    chunk = batch_size or BATCH_SIZE
+def _vectors(encoder: Encoder, ids: pa.ListArray, pad_id: int, length: int) -> pa.ListArray:
+    block = padded(ids, length, pad_id)
+    mask = (block != pad_id).astype(np.int64)
+    return _as_lists(unit_rows(encoder(block, np.zeros_like(block), mask)[:, 0, :]))
+
+
+def _chunks(batch: pa.Array, size: int) -> Iterator[pa.Array]:
+    return (batch.slice(start, size) for start in range(0, len(batch), size))
+
+
+VECTOR = pa.list_(pa.float32())
+
+
+def _failing_udf(encoder: Encoder, pad_id: int, size: int, length: int):
+    """Vectors; a model error fails the task."""
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder.load()
         for batch in batches:
-            vectors = []
-            for start in range(0, len(batch), chunk):
-                block = padded(batch.slice(start, chunk), length, pad_id)
-                mask = (block != pad_id).astype(np.int64)
-                vectors.append(unit_rows(encoder(block, np.zeros_like(block), mask)[:, 0, :]))
-            yield _as_lists(np.concatenate(vectors)) if vectors else pa.array([], pa.list_(pa.float32()))
+            yield pa.concat_arrays(
+                [pa.array([], VECTOR), *(_vectors(encoder, ids, pad_id, length) for ids in _chunks(batch, size))]
+            )
+
+    return run
+
+
+def _reporting_udf(encoder: Encoder, pad_id: int, size: int, length: int):
+    """Vectors and errors; a model error takes the vectors of its chunk and is told in their rows."""
+
+    def attempt(ids: pa.Array) -> pa.StructArray:
+        try:
+            vectors, errors = _vectors(encoder, ids, pad_id, length), pa.nulls(len(ids), pa.string())
+        except Exception as error:  # noqa: BLE001
+            vectors, errors = pa.nulls(len(ids), VECTOR), pa.array([str(error)] * len(ids), pa.string())
+        return pa.StructArray.from_arrays([vectors, errors], ["embedding", "error"])
+
+    @F.arrow_udf("embedding array<float>, error string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder.load()
+        for batch in batches:
+            none = pa.array([], pa.struct([("embedding", VECTOR), ("error", pa.string())]))
+            yield pa.concat_arrays([none, *(attempt(ids) for ids in _chunks(batch, size))])
 
     return run
 
@@ -104,7 +141,7 @@ def embedding(
     ids: Column, encoder: Encoder, pad_id: int, batch_size: int | None = None, length: int = MAX_LENGTH
 ) -> Column:
     """The unit vector of each id array: the model's state at the first position, normalised."""
-    return _embedding_udf(encoder, pad_id, batch_size, length)(ids)
+    return _failing_udf(encoder, pad_id, batch_size or BATCH_SIZE, length)(ids)
 
 
 def encode(
@@ -133,17 +170,24 @@ def embed(
     keys: Sequence[str] = KEYS,
     batch_size: int | None = None,
     length: int = MAX_LENGTH,
+    report_errors: bool = False,
     **options,
 ) -> DataFrame:
     """``(keys, embedding)``: one unit vector per text; no texts give no rows.
 
+    An error of the model fails the job. With ``report_errors`` its chunk gets
+    NULL vectors instead, and a column ``error`` says why.
+
     Only ids that are not padding travel to the Python workers; padding, mask and
     type ids are made there, next to the model.
     """
     ship(texts.sparkSession)
     ids = model_ids(texts, vocabulary, lexicon, keys, length, **options)
-    vector = embedding(F.col("token_ids"), encoder, vocabulary.special.pad, batch_size, length)
-    return ids.select(*keys, vector.alias("embedding"))
+    pad_id = vocabulary.special.pad
+    if report_errors:
+        run = _reporting_udf(encoder, pad_id, batch_size or BATCH_SIZE, length)
+        return ids.select(*keys, run("token_ids").alias("result")).select(*keys, "result.embedding", "result.error")
+    return ids.select(*keys, embedding(F.col("token_ids"), encoder, pad_id, batch_size, length).alias("embedding"))
 
 
 def register(
@@ -156,4 +200,4 @@ def register(
 ) -> None:
     """Make ``embedding`` callable from SQL, on a column of id arrays."""
     ship(spark)
-    spark.udf.register(name, _embedding_udf(encoder, pad_id, batch_size, length))
+    spark.udf.register(name, _failing_udf(encoder, pad_id, batch_size or BATCH_SIZE, length))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import norm
-from glyphmill.session import BROADCAST_BYTES, settle_measured
+from glyphmill.session import BROADCAST_BYTES, bounded, settle
 
 # Fixed value: experiments of a benchmark run.
 EXPERIMENTS = 10
@@ -33,9 +36,14 @@ def few_shot(
     return ranked.filter(F.col("rank") <= per_label).drop("rank")
 
 
+def _few(drawn: DataFrame, key: str) -> DataFrame:
+    """The drawn rows as a side to join a whole table with: it is not shuffled while they are few."""
+    return bounded(drawn.select("experiment", key), "drawn", F.lit(64))
+
+
 def centroids(labelled: DataFrame, drawn: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """The mean vector of the drawn rows: ``(experiment, label, centroid)``."""
-    values = drawn.join(labelled.select(key, vector), key).select(
+    values = labelled.select(key, "label", vector).join(_few(drawn, key), key).select(
         "experiment", "label", F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "value")
     )
     means = values.groupBy("experiment", "label", "pos").agg(F.avg("value").alias("value"))
@@ -56,13 +64,12 @@ def nearest_centroid(
         "experiment",
         F.struct("label", F.transform("centroid", lambda x: x / F.col("length")).alias("unit")).alias("model"),
     )
-    models, measured = settle_measured(
+    models = bounded(
         scaled.groupBy("experiment").agg(F.collect_list("model").alias("models")),
         "centroids",
-        bytes=F.sum(F.size("models") * (F.size(F.col("models")[0]["unit"]) * 8 + 48)),
+        F.size("models") * (F.size(F.col("models")[0]["unit"]) * 8 + 48),
+        limit,
     )
-    if (measured["bytes"] or 0) <= limit:
-        models = F.broadcast(models)
     rows = labelled.select(key, "label", F.col(vector).cast("array<double>").alias("vector"))
     experiments = [row.experiment for row in models.select("experiment").orderBy("experiment").collect()]
     asked = rows.withColumn("experiment", F.explode(F.lit(experiments)))
@@ -79,7 +86,7 @@ def nearest_centroid(
 
 
 def linear_probe(
-    labelled: DataFrame, drawn: DataFrame, key: str, vector: str = "embedding", iterations: int = 100
+    labelled: DataFrame, drawn: DataFrame, key: str, vector: str = "embedding", iterations: int = 100, parallelism: int = 4
 ) -> DataFrame:
     """Logistic regression on the drawn rows of each experiment, applied to all rows.
 
@@ -87,20 +94,27 @@ def linear_probe(
     single pass over the table: ``(experiment, key, label, prediction)``.
     """
     features = labelled.select(key, "label", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    # A small sample read by every iteration: AQE leaves it in as few pieces as its size asks for.
-    training = drawn.select("experiment", key).join(features, key).repartition("experiment", "label").cache()
+    # A small sample read by every iteration: AQE writes it in as few pieces as its size asks for.
+    training = settle(
+        features.join(_few(drawn, key), key).repartition("experiment", "label"), "training"
+    )
     experiments = [row.experiment for row in training.select("experiment").distinct().orderBy("experiment").collect()]
-    predicted = features
-    for experiment in experiments:
-        fitted = LogisticRegression(
+
+    def fit(experiment: int) -> LogisticRegressionModel:
+        regression = LogisticRegression(
             maxIter=iterations,
             featuresCol="features",
             predictionCol=f"prediction_{experiment}",
             rawPredictionCol="",
             probabilityCol="",
-        ).fit(training.filter(F.col("experiment") == experiment))
-        predicted = fitted.transform(predicted)
-    training.unpersist()
+        )
+        return regression.fit(training.filter(F.col("experiment") == experiment))
+
+    with ThreadPool(parallelism) as pool:  # jobs of several fits at a time
+        models = pool.map(inheritable_thread_target(features.sparkSession)(fit), experiments)
+    predicted = features
+    for model in models:
+        predicted = model.transform(predicted)
     answers = F.array(
         *[F.struct(F.lit(e).alias("experiment"), F.col(f"prediction_{e}").cast("int").alias("prediction")) for e in experiments]
     )

@@ -13,6 +13,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # A side of a join is broadcast only while its measured size stays below this.
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -45,6 +46,12 @@ def settle_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataF
     return table, observed.get
 
 
+def bounded(df: DataFrame, name: str, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Settle and measure ``df``; the result is marked for broadcast only if it is within ``limit``."""
+    table, measured = settle_measured(df, name, bytes=F.sum(row_bytes))
+    return F.broadcast(table) if (measured["bytes"] or 0) <= limit else table
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A table that comes in fewer pieces than there are cores gets one piece per core."""
     cores = df.sparkSession.sparkContext.defaultParallelism
