@@ -16,8 +16,9 @@ from glyphmill.session import BROADCAST_BYTES, bounded, settle
 # Fixed value: experiments of a benchmark run.
 EXPERIMENTS = 10
 
-# A prime and a multiplier: the order in which an experiment looks at the rows of a label.
-PRIME, MULTIPLIER, STEP = 2147483647, 48271, 1009
+# The order in which an experiment looks at the rows of a label: two multiplications modulo a
+# prime, so that neighbouring keys come far apart and every experiment has an order of its own.
+PRIME, SHIFT, FIRST, SECOND, STEP = 2147483647, 7919, 48271, 69621, 1009
 
 
 def few_shot(
@@ -30,7 +31,9 @@ def few_shot(
     label per task before it shuffles, so a frequent label is no hot spot.
     """
     drawn = labelled.select(F.explode(F.sequence(F.lit(0), F.lit(experiments - 1))).alias("experiment"), key, label)
-    mix = F.pmod(F.pmod(F.col(key), F.lit(PRIME)) * (F.lit(MULTIPLIER) + F.lit(STEP) * F.col("experiment")), F.lit(PRIME))
+    experiment = F.col("experiment").cast("bigint")
+    shifted = F.pmod(F.col(key).cast("bigint"), F.lit(PRIME)) + (experiment + 1) * SHIFT
+    mix = (shifted * FIRST) % PRIME * (experiment * STEP + SECOND) % PRIME
     order = Window.partitionBy("experiment", label).orderBy(mix, key)
     ranked = drawn.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= per_label).drop("rank")

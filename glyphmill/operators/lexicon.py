@@ -28,28 +28,36 @@ INNER = "##"
 PIECE_BYTES = 20
 
 # A long word is cut into blocks of starts, so that taking a substring never
-# walks the whole word, and its pieces are gathered in runs, so that adding one
-# never copies all of them.
+# walks the whole word, and its matches are folded in runs, so that a step never
+# copies all pieces found so far.
 BLOCK = 256
 RUN = 512
 
 
 def _follow(matches: Column, value_type: str) -> Column:
-    """Fold sorted matches ``(start, -length, value)`` into ``(next start, values, runs of values)``."""
+    """Fold sorted matches ``(start, -length, value)`` into ``(next start, runs of values)``.
 
-    def state(following: Column, run: Column, full: Column) -> Column:
-        return F.struct(following.alias("next"), run.alias("run"), full.alias("full"))
+    A fold copies its state at every step. So the matches are folded in runs with
+    a short state each, and the runs into the whole.
+    """
+    none = F.array().cast(f"array<{value_type}>")
+
+    def state(following: Column, run: Column) -> Column:
+        return F.struct(following.alias("next"), run.alias("values"))
 
     def step(acc: Column, match: Column) -> Column:
-        after, value = acc["next"] - match["shorter"], F.array(match["value"])
-        grown = state(after, F.concat(acc["run"], value), acc["full"])
-        fresh = state(after, value, F.concat(acc["full"], F.array(acc["run"])))
-        taken = F.when(F.size(acc["run"]) < RUN, grown).otherwise(fresh)
+        taken = state(acc["next"] - match["shorter"], F.concat(acc["values"], F.array(match["value"])))
         return F.when(match["start"] == acc["next"], taken).otherwise(acc)
 
-    nothing = F.array().cast(f"array<{value_type}>")
-    begin = state(F.lit(1), nothing, F.array().cast(f"array<array<{value_type}>>"))
-    return F.aggregate(matches, begin, step)
+    def add_run(acc: Column, run: Column) -> Column:
+        folded = F.aggregate(run, state(acc["next"], none), step)
+        return F.transform(
+            F.array(folded), lambda f: state(f["next"], F.concat(acc["values"], F.array(f["values"])))
+        )[0]
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(RUN))
+    runs = F.transform(firsts, lambda first: F.slice(matches, first, F.lit(RUN)))
+    return F.aggregate(runs, state(F.lit(1), F.array().cast(f"array<array<{value_type}>>")), add_run)
 
 
 def segment(distinct: DataFrame, vocabulary: Vocabulary, value: str = "token_id", limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -96,8 +104,9 @@ def segment(distinct: DataFrame, vocabulary: Vocabulary, value: str = "token_id"
     gathered = matched.groupBy("word_key", "n", "length", "whole").agg(
         F.collect_list(F.when(F.col("value").isNotNull(), match)).alias("matches")
     )
-    folded = gathered.withColumn("walk", _follow(F.sort_array("matches"), value_type))
-    pieces = F.flatten(F.concat(F.col("walk.full"), F.array(F.col("walk.run"))))
+    ordered = gathered.withColumn("matches", F.sort_array("matches"))
+    folded = ordered.withColumn("walk", _follow(F.col("matches"), value_type))
+    pieces = F.flatten("walk.values")
     rest = F.when(F.col("walk.next") <= F.col("length"), F.array(unknown)).otherwise(F.array().cast(f"array<{value_type}>"))
     return folded.select(
         "word_key", "n", F.when(found, F.array("whole")).otherwise(F.concat(pieces, rest)).alias("pieces")

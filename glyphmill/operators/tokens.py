@@ -62,8 +62,10 @@ def _piece_ids(
         return _pair_list(looked_up.withColumn("ids", ids), keys, "pairs").select(
             *keys, _in_order("pairs").alias("piece_ids")
         )
-    # Only rare words are shuffled, and only their own occurrences.
-    rare = rows.filter(F.col("word").isNotNull()).join(
+    # Only the occurrences of rare words are shuffled, by word and back by text. They are
+    # read from the texts as they lie, which costs a second scan but no second shuffle.
+    scanned = word_table(texts, keys, text, max_words).filter(F.col("word").isNotNull())
+    rare = scanned.withColumn("word_key", word_key(F.col("word"))).join(
         F.broadcast(near.select("word_key")), "word_key", "left_anti"
     )
     found = rare.join(far, "word_key", "left_outer").withColumn(

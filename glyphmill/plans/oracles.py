@@ -166,7 +166,8 @@ DRAWN = """
 ranked as (
   select experiment, vec_id, label, row_number() over (
     partition by experiment, label
-    order by ((vec_id % 2147483647) * (48271 + 1009 * experiment)) % 2147483647, vec_id) as place
+    order by (((vec_id % 2147483647 + (experiment + 1) * 7919) * 48271) % 2147483647)
+      * (experiment * 1009 + 69621) % 2147483647, vec_id) as place
   from embeddings, range(10) r(experiment)),
 drawn as (select experiment::int as experiment, vec_id, label from ranked where place <= 8)"""
 

@@ -1,0 +1,72 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.operators import evaluate as E
+from glyphmill.plans.fixture import table
+from glyphmill.sinks import files
+
+# Published scores of ten experiments: accuracy and f1.
+PUBLISHED = [
+    (0.711688, 0.699254), (0.712338, 0.700403), (0.716558, 0.704883), (0.71461, 0.706807), (0.714935, 0.704222),
+    (0.722403, 0.714631), (0.695455, 0.683154), (0.708117, 0.695964), (0.731494, 0.721801), (0.708766, 0.698724),
+]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, small):
+    return table(spark, small, "embeddings")
+
+
+def test_scores(spark):
+    # Label 2 is never predicted, label 3 is predicted and never true.
+    rows = [(0, 0, 0), (0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 2, 3), (1, 5, 5)]
+    predictions = spark.createDataFrame(rows, "experiment int, label int, prediction int")
+    f1 = {(r.experiment, r.label): r.f1 for r in E.label_scores(predictions).collect()}
+    assert f1 == {(0, 0): 0.8, (0, 1): pytest.approx(2 / 3), (0, 2): 0, (0, 3): 0, (1, 5): 1}
+    first, second = E.experiment_scores(predictions).orderBy("experiment").collect()
+    assert first.accuracy == 0.6 and first.f1 == pytest.approx((0.8 + 2 / 3) / 4)
+    assert first.f1_weighted == pytest.approx((3 * 0.8 + 2 / 3) / 5)
+    assert tuple(second) == (1, 1, 1, 1)
+
+
+def test_summary_and_report(spark, tmp_path):
+    scores = spark.createDataFrame(
+        [(i, a, f, f) for i, (a, f) in enumerate(PUBLISHED)], "experiment int, accuracy double, f1 double, f1_weighted double"
+    )
+    means = E.summary(scores).head()
+    assert round(means.main_score, 6) == 0.713636 and round(means.f1, 6) == 0.702984
+    files.write_report(E.score_report(scores, "Task", languages=("eng-Latn",)), str(tmp_path / "report"))
+    part = next((tmp_path / "report").glob("part-*.json"))
+    report = json.loads(part.read_text())
+    test = report["scores"]["test"][0]
+    assert report["task_name"] == "Task" and test["languages"] == ["eng-Latn"] and test["hf_subset"] == "default"
+    assert test["scores_per_experiment"][5] == {"accuracy": 0.722403, "f1": 0.714631, "f1_weighted": 0.714631}
+    assert round(test["main_score"], 6) == 0.713636
+
+
+def test_few_shot(labelled):
+    drawn = E.few_shot(labelled, "vec_id", experiments=3, per_label=4)
+    counts = drawn.groupBy("experiment", "label").count().collect()
+    assert len(counts) == 30 and {r["count"] for r in counts} == {4}
+    sets = [frozenset(r.vec_id for r in drawn.filter(F.col("experiment") == e).collect()) for e in range(3)]
+    assert len(set(sets)) == 3
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange")[1]  # rows of a label are cut before they move
+
+
+def test_nearest_centroid_in_both_ways(labelled):
+    means = E.centroids(labelled, E.few_shot(labelled, "vec_id", experiments=2), "vec_id")
+    near = E.nearest_centroid(labelled, means, "vec_id")
+    assert sorted(near.collect()) == sorted(E.nearest_centroid(labelled, means, "vec_id", limit=0).collect())
+    assert near.count() == 2 * labelled.count()
+
+
+def test_linear_probe(labelled):
+    drawn = E.few_shot(labelled, "vec_id", experiments=2, per_label=6)
+    predictions = E.linear_probe(labelled, drawn, "vec_id", iterations=20)
+    assert predictions.columns == ["experiment", "vec_id", "label", "prediction"]
+    assert predictions.count() == 2 * labelled.count()
+    on_drawn = predictions.join(drawn.select("experiment", "vec_id"), ["experiment", "vec_id"])
+    assert E.experiment_scores(on_drawn).agg(F.min("accuracy")).head()[0] > 0.8
