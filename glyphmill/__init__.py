@@ -1,5 +1,6 @@
 """glyphmill: text corpora to unit vectors, written as Spark DataFrame jobs."""
 
+from glyphmill.model import TextModel
 from glyphmill.operators.embed import Encoder, OnnxEncoder, embed, encode
 from glyphmill.operators.lexicon import Lexicon, build_lexicon
 from glyphmill.operators.tokens import detokenize, encode_ids, token_table, tokenize
@@ -10,6 +11,7 @@ __all__ = [
     "Lexicon",
     "OnnxEncoder",
     "SpecialTokens",
+    "TextModel",
     "Vocabulary",
     "build_lexicon",
     "detokenize",

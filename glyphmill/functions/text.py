@@ -10,6 +10,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 PUNCTUATION = r""".,!?;:()\[\]{}"'"""
 WHITESPACE = r" \t\n\x0B\f\r"
+TRIMMED = " \t\n\r"
 PREVIEW_BYTES = 50
 
 
@@ -31,10 +32,15 @@ def collapse_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, f"[{WHITESPACE}]+", " ")
 
 
+def trim_ends(text: Column) -> Column:
+    """Remove spaces, tabs and line ends from both ends."""
+    return F.btrim(text, F.lit(TRIMMED))
+
+
 def preprocess(text: Column) -> Column:
     """Lowercase, isolate punctuation, collapse whitespace, trim. NULL counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    return F.trim(collapse_whitespace(isolate_punctuation(ascii_lower(text))))
+    return trim_ends(collapse_whitespace(isolate_punctuation(ascii_lower(text))))
 
 
 def words(text: Column) -> Column:

@@ -93,6 +93,11 @@ embedded as (
   from summed join lengths using (text_id))"""
 
 
+def _six(x: str) -> str:
+    """Rounded to six digits; what rounds to zero has no sign."""
+    return f"(case when abs({x}) < 0.0000005 then 0.0::double else round({x}, 6) end)"
+
+
 def _chain(*parts: str, last: str) -> str:
     return "with recursive " + ",\n".join(part.strip() for part in parts) + "\n" + last
 
@@ -223,6 +228,7 @@ ORACLES: dict[str, str] = {
     "ascii_lower": f"select doc_id as text_id, {LOWERED} as lowered from documents",
     "isolate_punct": f"select doc_id as text_id, {SPACED.format('text')} as isolated from documents",
     "collapse_ws": f"select doc_id as text_id, {COLLAPSED.format('text')} as collapsed from documents",
+    "trim_ends": "select doc_id as text_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) as trimmed from documents",
     "preprocess": f"select doc_id as text_id, {PROCESSED} as processed from documents",
     "words": _chain(
         TEXTS,
@@ -300,10 +306,10 @@ ORACLES: dict[str, str] = {
         using (text_id)"""
     ),
     "embed": _tokenised(
-        "select text_id, pos, round(value::double, 6) as value from embedded", _encoded(), EMBEDDED
+        f"select text_id, pos, {_six('value::double')} as value from embedded", _encoded(), EMBEDDED
     ),
     "embed_conversations": _tokenised(
-        "select conv_id, turn, pos, round(value::double, 6) as value from embedded join texts using (text_id)",
+        f"select conv_id, turn, pos, {_six('value::double')} as value from embedded join texts using (text_id)",
         _encoded(),
         EMBEDDED,
         source=TURNS,
@@ -312,14 +318,14 @@ ORACLES: dict[str, str] = {
         VOCABULARY,
         last="""
         select (select count(*) from documents) as texts, (select count(*) from documents) as embeddings,
-               16 as dimension, (select count(*) from vocab) as vocabulary_size,
-               0 as pad_id, 1 as unk_id, 2 as cls_id, 3 as sep_id""",
+               16::bigint as dimension, (select count(*) from vocab) as vocabulary_size,
+               0::bigint as pad_id, 1::bigint as unk_id, 2::bigint as cls_id, 3::bigint as sep_id""",
     ),
-    "l2_normalize": """
+    "l2_normalize": f"""
         with scaled as (
           select vec_id, unnest(range(len(embedding))) as pos, unnest(embedding::double[]) * label as x from embeddings),
         lengths as (select vec_id, sqrt(sum(x * x)) as length from scaled group by 1)
-        select vec_id, pos, round(case when length > 0 then x / length else x end, 6) as value
+        select vec_id, pos, {_six('(case when length > 0 then x / length else x end)')} as value
         from scaled join lengths using (vec_id)""",
     "bad_vectors": _chain(
         DAMAGED,
@@ -354,19 +360,19 @@ ORACLES: dict[str, str] = {
         from pairs""",
     ),
     "unpaired": _chain(LINE_SIDES, last="select text_id, text, texts, vectors from pairs where texts <> vectors"),
-    "embedding_profile": """
+    "embedding_profile": f"""
         select vec_id, len(embedding) as dimension, list_min(embedding)::double as lowest,
                list_max(embedding)::double as highest,
-               round(list_sum(embedding::double[]) / len(embedding), 6) as mean,
+               {_six('(list_sum(embedding::double[]) / len(embedding))')} as mean,
                array_to_string(list_transform(embedding[1:5], lambda x: printf('%.6f', x::double)), ' ') as head
         from embeddings""",
-    "table_profile": """
+    "table_profile": f"""
         select count(*) as vectors, min(len(embedding)) as least_dimension, max(len(embedding)) as most_dimension,
                min(list_min(embedding))::double as lowest, max(list_max(embedding))::double as highest,
-               round(sum(list_sum(embedding::double[])) / sum(len(embedding)), 6) as mean
+               {_six('(sum(list_sum(embedding::double[])) / sum(len(embedding)))')} as mean
         from embeddings""",
-    "cosine": """
-        select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity
+    "cosine": f"""
+        select a.vec_id, {_six('list_cosine_similarity(a.embedding::double[], b.embedding::double[])')} as similarity
         from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
     "few_shot": _chain(DRAWN, last="select experiment, vec_id, label from drawn"),
     "nearest_centroid": _chain(PREDICTED, last="select experiment, vec_id, label, prediction from predictions"),

@@ -48,6 +48,7 @@ def _text_query(function: Callable[[Column], Column], name: str) -> Query:
 ascii_lower = _text_query(X.ascii_lower, "lowered")
 isolate_punct = _text_query(X.isolate_punctuation, "isolated")
 collapse_ws = _text_query(X.collapse_whitespace, "collapsed")
+trim_ends = _text_query(X.trim_ends, "trimmed")
 preprocess = _text_query(X.preprocess, "processed")
 preview = _text_query(X.preview, "shown")
 
@@ -392,7 +393,7 @@ def score_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query: globals()[query]
     for query in (
-        "ascii_lower", "isolate_punct", "collapse_ws", "preprocess", "words", "preview",
+        "ascii_lower", "isolate_punct", "collapse_ws", "trim_ends", "preprocess", "words", "preview",
         "split_nul", "split_custom", "split_keep_empty", "delimited_file",
         "vocab_forward", "vocab_reverse", "special_ids", "learnt_vocabulary",
         "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_conversations",

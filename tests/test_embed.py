@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill import OnnxEncoder, build_lexicon, embed, token_table, tokenize
+from glyphmill import OnnxEncoder, TextModel, build_lexicon, embed, token_table, tokenize
 from glyphmill.operators.embed import padded, register, unit_rows
 from glyphmill.plans import fixture
 from glyphmill.plans.fixture import MixingEncoder
@@ -112,6 +112,20 @@ def test_onnx(spark, vocabulary_of, tmp_path):
         assert sorted(r.text_id for r in rows) == [0, 1, 2] and all(r.embedding == unit for r in rows)
 
 
+def test_text_model(spark, tmp_path):
+    (tmp_path / "onnx").mkdir()
+    (tmp_path / "onnx" / "model.onnx").write_bytes(model())
+    (tmp_path / "vocab.txt").write_text("\n".join(TOKENS))
+    loaded = TextModel.from_directory(spark, str(tmp_path))
+    unit = [pytest.approx(math.sqrt(0.5)), pytest.approx(-math.sqrt(0.5))]
+    assert loaded.encode("Hello world!") == [unit]
+    assert loaded.encode(["Hello world!", "", "This is a test."], batch_size=2, show_progress_bar=True) == [unit] * 3
+    assert loaded.encode([]) == []
+    mixed = TextModel(loaded.vocabulary, MixingEncoder())
+    both = mixed.encode(["ab", "d"])
+    assert both[0] != both[1] and both == [mixed.encode("ab")[0], mixed.encode("d")[0]]
+
+
 def test_stream(spark, vocabulary_of, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([(0, "ab d"), (1, "abc")], "text_id bigint, text string")

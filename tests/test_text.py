@@ -37,6 +37,7 @@ def test_words_are_those_of_the_processed_text(spark, small):
 def test_single_steps(spark):
     assert one(spark, "ÀBÇ Z", X.ascii_lower) == ["ÀbÇ z"]
     assert one(spark, "a.b", X.isolate_punctuation) == ["a . b"]
+    assert one(spark, " \t\r\n a\x0b b \n", X.trim_ends) == ["a\x0b b"]
     assert one(spark, " a \t b ", X.collapse_whitespace) == [" a b "]
 
 
