@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators.words import word_key, word_table
 from glyphmill.session import BROADCAST_BYTES, settle_measured
-from glyphmill.sources.vocabulary import UNK, Vocabulary
+from glyphmill.sources.vocabulary import INNER, UNK, Vocabulary
 
-# The mark of a piece inside a word, and the longest text of a piece.
-INNER = "##"
+# Fixed value: the longest text of a piece.
 PIECE_BYTES = 20
 
 # A long word is cut into blocks of starts, so that taking a substring never
@@ -69,7 +68,11 @@ def segment(distinct: DataFrame, vocabulary: Vocabulary, value: str = "token_id"
         "token_id": ("int", F.lit(vocabulary.unk_piece)),
         "token": ("string", F.lit(UNK)),
     }[value]
-    entries = vocabulary.by_token(limit).select("token", F.col(value).cast(value_type).alias("value"))
+
+    def valued(table: DataFrame) -> DataFrame:
+        return table.select("token", F.col(value).cast(value_type).alias("value"))
+
+    entries = valued(vocabulary.by_token(limit))
     whole = (
         distinct.join(entries, distinct["word"] == entries["token"], "left_outer")
         .select("word", "n", F.col("value").alias("whole"), F.char_length("word").alias("length"))
@@ -96,10 +99,20 @@ def segment(distinct: DataFrame, vocabulary: Vocabulary, value: str = "token_id"
             F.when(F.col("start") == 1, F.col("text")).otherwise(F.concat(F.lit(INNER), F.col("text"))).alias("piece"),
         )
     )
-    matched = candidates.join(entries, candidates["piece"] == entries["token"], "left_outer").filter(
+
+    def matching(rows: DataFrame, table: DataFrame) -> DataFrame:
         # The first candidate stays without a match too, so that no word is lost.
-        F.col("value").isNotNull() | first
-    )
+        found_or_first = F.col("value").isNotNull() | first
+        return rows.join(table, rows["piece"] == table["token"], "left_outer").filter(found_or_first)
+
+    if vocabulary.bytes <= limit:
+        matched = matching(candidates, entries)
+    else:
+        # Most candidates are inner ones, and the inner tokens are few even if the vocabulary is
+        # too large to broadcast: then only the openings, 20 per word at most, are shuffled.
+        opening = matching(candidates.filter(F.col("start") == 1), entries)
+        inner = matching(candidates.filter(F.col("start") > 1), valued(vocabulary.inner_by_token(limit)))
+        matched = opening.union(inner)
     match = F.struct("start", (-F.col("size")).alias("shorter"), "value")
     gathered = matched.groupBy("word_key", "n", "length", "whole").agg(
         F.collect_list(F.when(F.col("value").isNotNull(), match)).alias("matches")

@@ -16,7 +16,7 @@ from glyphmill.functions.ids import MAX_LENGTH, pad, truncate
 from glyphmill.operators.lexicon import Lexicon, build_lexicon
 from glyphmill.operators.words import word_key, word_table
 from glyphmill.session import BROADCAST_BYTES
-from glyphmill.sources.vocabulary import Vocabulary
+from glyphmill.sources.vocabulary import INNER, Vocabulary
 
 KEYS = ("text_id",)
 
@@ -160,9 +160,17 @@ def detokenize(
     listed = named.groupBy(*keys).agg(
         F.collect_list(F.when(printed, F.struct("pos", "token"))).alias("pairs")
     )
-    inner = lambda pair: pair["token"].startswith("##")
-    content = lambda pair: F.when(inner(pair), F.substring(pair["token"], 3, 2**31 - 1)).otherwise(pair["token"])
-    spaced = lambda pair: F.when(inner(pair), content(pair)).otherwise(F.concat(F.lit(" "), pair["token"]))
+
+    def inner(pair: Column) -> Column:
+        return pair["token"].startswith(INNER)
+
+    def content(pair: Column) -> Column:
+        unmarked = F.substring(pair["token"], len(INNER) + 1, 2**31 - 1)
+        return F.when(inner(pair), unmarked).otherwise(pair["token"])
+
+    def spaced(pair: Column) -> Column:
+        return F.when(inner(pair), content(pair)).otherwise(F.concat(F.lit(" "), pair["token"]))
+
     ordered = listed.select(*keys, F.sort_array("pairs").alias("pairs"))
     # No space before the first token that puts out anything.
     first = F.array_position(F.transform("pairs", lambda pair: content(pair) != ""), True).cast("int")

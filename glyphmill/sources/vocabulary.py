@@ -15,6 +15,7 @@ from glyphmill.session import BROADCAST_BYTES
 
 # Special tokens and the ids they have unless the vocabulary names them.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
+INNER = "##"  # the mark of a piece inside a word
 DEFAULT_PAD, DEFAULT_UNK, DEFAULT_CLS, DEFAULT_SEP = 0, 100, 101, 102
 
 
@@ -66,20 +67,25 @@ class Vocabulary:
     unk_piece: int  # id of a produced [UNK] piece: the vocabulary's own if it has one
     tokens: int
     bytes: int
+    inner_bytes: int  # of the tokens that are pieces inside a word
     longest: int  # characters of the longest token
 
     @classmethod
     def from_entries(cls, entries: DataFrame) -> Vocabulary:
         """From ``(token_id, token)`` rows. One small aggregate runs at once, to size it."""
         tokens = entries.groupBy("token").agg(F.max("token_id").alias("token_id"), F.count("*").alias("copies"))
+        size = F.col("copies") * (F.octet_length("token") + 48)
         facts = tokens.agg(
             *_special_columns(),
             F.count("*").alias("tokens"),
-            F.sum(F.col("copies") * (F.octet_length("token") + 48)).alias("bytes"),
+            F.sum(size).alias("bytes"),
+            F.sum(F.when(F.col("token").startswith(INNER), size)).alias("inner_bytes"),
             F.max(F.char_length("token")).alias("longest"),
         ).head()
         special = SpecialTokens(facts.pad, facts.unk, facts.cls, facts.sep)
-        return cls(entries, special, facts.unk, facts.tokens, facts.bytes or 0, facts.longest or 0)
+        return cls(
+            entries, special, facts.unk, facts.tokens, facts.bytes or 0, facts.inner_bytes or 0, facts.longest or 0
+        )
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str) -> Vocabulary:
@@ -100,11 +106,17 @@ class Vocabulary:
 
     def by_token(self, limit: int = BROADCAST_BYTES) -> DataFrame:
         """``(token, token_id)``, marked for broadcast while it is small enough."""
-        return self._sized(forward(self.entries), limit)
+        return self._sized(forward(self.entries), self.bytes, limit)
+
+    def inner_by_token(self, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """``by_token`` for the pieces inside a word only."""
+        inner = self.entries.filter(F.col("token").startswith(INNER))
+        return self._sized(forward(inner), self.inner_bytes, limit)
 
     def by_id(self, limit: int = BROADCAST_BYTES) -> DataFrame:
         """``(token_id, token)``, marked for broadcast while it is small enough."""
-        return self._sized(self.entries.select("token_id", "token"), limit)
+        return self._sized(self.entries.select("token_id", "token"), self.bytes, limit)
 
-    def _sized(self, table: DataFrame, limit: int) -> DataFrame:
-        return F.broadcast(table) if self.bytes <= limit else table
+    @staticmethod
+    def _sized(table: DataFrame, size: int, limit: int) -> DataFrame:
+        return F.broadcast(table) if size <= limit else table

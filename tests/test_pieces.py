@@ -70,7 +70,10 @@ def test_random_words(spark, vocabulary_of, seed):
     words = sorted({text(14) for _ in range(300)})
     found = pieces_of(spark, vocabulary_of(tokens), words)
     assert found == {word: expected(word, set(tokens)) for word in words}
-    assert pieces_of(spark, vocabulary_of(tokens), words, limit=0) == found  # nothing broadcast
+    own = vocabulary_of(tokens)
+    assert 0 < own.inner_bytes < own.bytes
+    for limit in (own.inner_bytes, 0):  # only the inner tokens broadcast, and nothing
+        assert pieces_of(spark, own, words, limit=limit) == found
 
 
 def test_long_words(spark, vocabulary_of):
