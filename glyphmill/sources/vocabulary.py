@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.session import BROADCAST_BYTES
+from glyphmill.session import BROADCAST_BYTES, settle
 
 # Special tokens and the ids they have unless the vocabulary names them.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
@@ -63,6 +63,7 @@ class Vocabulary:
     """A vocabulary table with its measured size and its special ids."""
 
     entries: DataFrame  # token_id, token: one row per id
+    lookup: DataFrame  # token, token_id: one row per token, settled
     special: SpecialTokens
     unk_piece: int  # id of a produced [UNK] piece: the vocabulary's own if it has one
     tokens: int
@@ -72,8 +73,9 @@ class Vocabulary:
 
     @classmethod
     def from_entries(cls, entries: DataFrame) -> Vocabulary:
-        """From ``(token_id, token)`` rows. One small aggregate runs at once, to size it."""
-        tokens = entries.groupBy("token").agg(F.max("token_id").alias("token_id"), F.count("*").alias("copies"))
+        """From ``(token_id, token)`` rows. The lookup table is written and measured at once."""
+        last, copies = F.max("token_id").alias("token_id"), F.count("*").alias("copies")
+        tokens = settle(entries.groupBy("token").agg(last, copies), "tokens")
         size = F.col("copies") * (F.octet_length("token") + 48)
         facts = tokens.agg(
             *_special_columns(),
@@ -83,8 +85,9 @@ class Vocabulary:
             F.max(F.char_length("token")).alias("longest"),
         ).head()
         special = SpecialTokens(facts.pad, facts.unk, facts.cls, facts.sep)
+        lookup = tokens.select("token", "token_id")
         return cls(
-            entries, special, facts.unk, facts.tokens, facts.bytes or 0, facts.inner_bytes or 0, facts.longest or 0
+            entries, lookup, special, facts.unk, facts.tokens, facts.bytes or 0, facts.inner_bytes or 0, facts.longest or 0
         )
 
     @classmethod
@@ -100,18 +103,17 @@ class Vocabulary:
         A piece ``[UNK]`` is looked up like any other, so the new unk id counts
         for it only if the vocabulary has no such token.
         """
-        has_unk = self.entries.filter(F.col("token") == UNK).limit(1).count() > 0
+        has_unk = not self.lookup.filter(F.col("token") == UNK).isEmpty()
         unk_piece = self.unk_piece if has_unk else unk
         return replace(self, special=SpecialTokens(pad, unk, cls, sep), unk_piece=unk_piece)
 
     def by_token(self, limit: int = BROADCAST_BYTES) -> DataFrame:
         """``(token, token_id)``, marked for broadcast while it is small enough."""
-        return self._sized(forward(self.entries), self.bytes, limit)
+        return self._sized(self.lookup, self.bytes, limit)
 
     def inner_by_token(self, limit: int = BROADCAST_BYTES) -> DataFrame:
         """``by_token`` for the pieces inside a word only."""
-        inner = self.entries.filter(F.col("token").startswith(INNER))
-        return self._sized(forward(inner), self.inner_bytes, limit)
+        return self._sized(self.lookup.filter(F.col("token").startswith(INNER)), self.inner_bytes, limit)
 
     def by_id(self, limit: int = BROADCAST_BYTES) -> DataFrame:
         """``(token_id, token)``, marked for broadcast while it is small enough."""
