@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, toxicity, warc
+from glyphmill.llm import decontaminate, mixing, overlap_join, surrogates, tool_calls, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = surrogates.replace_entities(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_entities", F.col("text").alias("replaced"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     read = warc.round_trip(spark, table(spark, folder, "pages"))
     return read.select(
@@ -26,6 +31,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_join.classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = toxicity.fit(documents, table(spark, folder, "labels"))
@@ -37,8 +46,62 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Shares of tokens that a training mixture asks for, by language and quality.
+TARGETS = {
+    "en-good": 0.50, "fr-good": 0.16, "de-good": 0.16, "es-good": 0.12,
+    "en-poor": 0.03, "fr-poor": 0.01, "de-poor": 0.01, "es-poor": 0.01,
+}
+
+
+def domains(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, domain`` of the labelled documents: language and quality."""
+    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    quality = F.when(F.col("quality") > 0, "good").otherwise("poor")
+    joined = documents.select("doc_id", "lang").distinct().join(known, "doc_id")
+    return joined.select("doc_id", F.concat_ws("-", "lang", quality).alias("domain"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    mixed, names = mixing.mix(documents, domains(documents, table(spark, folder, "labels")), TARGETS)
+    shares = [F.col("p")[k].alias("p_" + name.replace("-", "_")) for k, name in enumerate(names)]
+    return mixed.select("row.doc_id", "tokens", "rate", *shares)
+
+
+SCHEMAS = [
+    ("open", "text", "string", True), ("open", "words", "integer", True), ("open", "hurry", "boolean", False),
+    ("reply", "text", "string", True), ("reply", "words", "integer", True), ("reply", "after", "object", True),
+]
+
+
+def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every user turn as a call that refers to the user turn before it, every assistant turn as its result."""
+
+    def name(turn: str) -> Column:
+        return F.concat_ws(":", "conv_id", F.expr(turn))
+
+    opening = F.col("turn") <= 1
+    after = F.when(~opening, F.map_from_arrays(F.array(F.lit("$ref")), F.array(name("turn - 2"))))
+    arguments = F.struct(F.size(F.split("text", " ")).alias("words"), F.col("text"), after.alias("after"))
+    calls = conversations.filter("role = 'user'").select(
+        name("turn").alias("call_id"), "conv_id", F.col("turn").alias("position"),
+        F.when(opening, "open").otherwise("reply").alias("tool"), F.to_json(arguments).alias("arguments"),
+    )
+    results = conversations.filter("role = 'assistant'").select(
+        name("turn - 1").alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content")
+    )
+    return calls, results
+
+
+def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = conversation_calls(table(spark, folder, "conversations"))
+    schemas = spark.createDataFrame(SCHEMAS, "tool string, field string, type string, required boolean")
+    linked = tool_calls.link(calls, results, schemas)
+    return linked.withColumn("level", F.col("level").cast("bigint")).withColumn("problems", F.array_join("problems", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op3_warc, op4_decontamination, op7_toxicity)
+    query.__name__: query for query in (op2_pii, op3_warc, op4_decontamination, op5_jaccard_join, op7_toxicity, op8_mixing, op9_tool_calls)
 }
 
 ORACLES: dict[str, str] = {
