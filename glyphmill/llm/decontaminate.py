@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits of the lower-cased text. A first pass over
 the corpus counts in how many documents each n-gram of the benchmark occurs;
-every item keeps its rarest n-grams as seeds (the rank within the item decides,
-so an item that is copied everywhere keeps its seeds too). A second pass looks
+every item keeps its rare n-grams as seeds (rare for the item: what is far more
+frequent than its middle n-gram goes, so an item that is copied everywhere keeps its seeds). A second pass looks
 up the seeds in each whole text; around their hits the item is aligned
 with the words of the text. ``score`` is the best local alignment over that of an
 untouched copy (match 2, mismatch and gap -1), so 1 is verbatim and edited copies
@@ -35,6 +35,7 @@ from glyphmill.session import settle_measured, ship
 SEED_WORDS = 4
 LEAST_WORDS = 5
 LEAST_SEEDS = 12
+RARE = 8  # Seeds occur in at most so many times the documents that the item's middle n-gram occurs in.
 THRESHOLD = 0.6
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -102,14 +103,15 @@ class Block:
         return Block(ids, items, numbers, joined[0].astype(np.uint64)[order], joined[1][order], joined[2][order])
 
     def with_rare(self, counts: dict[int, int]) -> Block:
-        """Only the rarest half of each item's n-grams, ``LEAST_SEEDS`` at least."""
+        """Without the n-grams that are far more frequent than is usual in their item; ``LEAST_SEEDS`` stay at least."""
         frequency = np.array([counts.get(int(key), 0) for key in self.keys.view(np.int64)], np.int64)
         order = np.lexsort((self.offsets, frequency, self.owners))
-        owner = self.owners[order]
+        owner, sorted_ = self.owners[order], frequency[order]
         starts = np.searchsorted(owner, np.arange(len(self.items)))
         rank = np.arange(len(owner)) - starts[owner]
-        size = np.bincount(owner, minlength=len(self.items))[owner]
-        kept = np.sort(order[rank < np.maximum(LEAST_SEEDS, (size + 1) // 2)])
+        size = np.bincount(owner, minlength=len(self.items))
+        usual = np.maximum(sorted_[np.minimum(starts + size // 2, max(len(owner) - 1, 0))], 1) if len(owner) else size
+        kept = np.sort(order[(rank < LEAST_SEEDS) | (sorted_ <= RARE * usual[owner])])
         return Block(self.item_ids, self.items, self.numbers, self.keys[kept], self.owners[kept], self.offsets[kept])
 
     @cached_property
