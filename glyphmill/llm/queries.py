@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, mixing, overlap_join, surrogates, tool_calls, toxicity, warc
+from glyphmill.llm import decontaminate, licenses, mixing, neighbours, overlap_join, suffix_dedup, surrogates, tool_calls, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    starts, stated = F.transform("base", lambda b: b["start"].cast("bigint")), F.transform("base", lambda b: b["label"])
+    labels = F.concat(stated, F.coalesce(F.transform("found", lambda d: d["label"]), F.array().cast("array<string>")))
+
+    def joined(values: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(values)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(stated).alias("base_labels"), joined(labels).alias("labels"), "score",
+    )
+
+
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = surrogates.replace_entities(table(spark, folder, "documents"))
     return found.select("doc_id", "n_entities", F.col("text").alias("replaced"))
@@ -35,6 +50,10 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_join.classes(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = toxicity.fit(documents, table(spark, folder, "labels"))
@@ -46,6 +65,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, folder, "documents")).drop("kept")
+
+
 # Shares of tokens that a training mixture asks for, by language and quality.
 TARGETS = {
     "en-good": 0.50, "fr-good": 0.16, "de-good": 0.16, "es-good": 0.12,
@@ -101,7 +124,7 @@ def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_pii, op3_warc, op4_decontamination, op5_jaccard_join, op7_toxicity, op8_mixing, op9_tool_calls)
+    query.__name__: query for query in (op1_licenses, op2_pii, op3_warc, op4_decontamination, op5_jaccard_join, op6_neighbours, op7_toxicity, op8_mixing, op9_tool_calls, op10_suffix_dedup)
 }
 
 ORACLES: dict[str, str] = {

@@ -90,6 +90,8 @@ class Model:
         return self.weights != 0
 
     def score(self, text: str | None) -> float:
+        if np.isneginf(self.intercept):
+            return 0.0
         value = self.intercept + float(self.weights[present(text, self.wanted)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(value, -500, 500))))
 
