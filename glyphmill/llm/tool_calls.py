@@ -3,8 +3,7 @@
 Calls ``(call_id, conv_id, position, tool, arguments)`` and results ``(call_id,
 position, content)`` are joined by hash on the identifier. Arguments name the
 calls whose results they use as ``{"$ref": "<call_id>"}``; a call's level is one
-more than the highest level among those, found by peeling: each round settles the
-calls whose references are all settled. Arguments are checked against a table of
+more than the highest level among those. Arguments are checked against a table of
 schemas ``(tool, field, type, required)`` and written with sorted keys.
 
 Everything is a DataFrame expression. Defined cases: a call without a result
@@ -42,28 +41,67 @@ def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(fields).alias("first")).select(key, "first.*")
 
 
+def _chains(single: DataFrame, count: int) -> DataFrame:
+    """``call_id, anchor, distance``: where the chain of single references of each call ends.
+
+    Every round doubles the distance looked ahead, so the rounds follow the logarithm
+    of the longest chain. Who still moves after all of them is on or behind a cycle and is left out.
+    """
+    ahead, _ = settle_measured(single.select("call_id", F.col("needs").alias("anchor"), F.lit(1).alias("distance")), "chains", n=F.count(F.lit(1)))
+    for _ in range(count.bit_length() + 1):
+        step = ahead.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("further"), F.col("distance").alias("more"))
+        jumped = ahead.join(step, "anchor", "left").select(
+            "call_id",
+            F.coalesce("further", "anchor").alias("anchor"),
+            (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"),
+            F.col("further").isNotNull().alias("moved"),
+        )
+        jumped, measured = settle_measured(jumped, "chains", moved=F.sum(F.col("moved").cast("bigint")))
+        ahead = jumped.select("call_id", "anchor", "distance")
+        if not measured["moved"]:
+            return ahead
+    return jumped.filter("not moved").select("call_id", "anchor", "distance")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """``call_id, level`` of distinct calls; null on or behind a cycle."""
+    """``call_id, level`` of distinct calls; null on or behind a cycle.
+
+    Chains of calls with one reference each are followed by doubling. The calls with
+    several references are then peeled, a round for each level among them.
+    """
     edges = calls.select("call_id", F.explode(references(F.col("arguments"))).alias("needs"))
     known = calls.select(F.col("call_id").alias("needs"))
     edges = settle(edges.join(known, "needs", "left_semi"), "references")
-    waiting = calls.select("call_id").join(edges.select("call_id").distinct(), "call_id", "left_anti")
-    done, count = settle_measured(waiting.withColumn("level", F.lit(0)), "levels", n=F.count(F.lit(1)))
-    everything, fresh = done, count["n"]
-    total = calls.count()
-    while fresh and fresh < total:
-        # A call is ready when none of its references is still open.
-        marked = edges.join(everything.withColumnRenamed("call_id", "needs"), "needs", "left")
-        ready = marked.groupBy("call_id").agg(
-            F.max("level").alias("top"), F.count(F.lit(1)).alias("all"), F.count("level").alias("closed")
-        )
-        ready = ready.filter(F.col("all") == F.col("closed")).select("call_id", (F.col("top") + 1).alias("level"))
-        everything, count = settle_measured(
-            ready.unionByName(done), "levels", n=F.count(F.lit(1))
-        )
-        if count["n"] == fresh:
-            break
-        fresh = count["n"]
+    degrees = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("degree"), F.min("needs").alias("needs"))
+    degrees, measured = settle_measured(
+        degrees, "degrees", single=F.sum((F.col("degree") == 1).cast("bigint")), many=F.sum((F.col("degree") > 1).cast("bigint"))
+    )
+    done = calls.select("call_id").join(degrees, "call_id", "left_anti").withColumn("level", F.lit(0))
+    chains = settle(_chains(degrees.filter("degree = 1"), measured["single"] or 0), "chains")
+    total, closed = measured["many"] or 0, 0
+    if total:
+        # The references of the others, each led to the end of its chain.
+        left = edges.join(degrees.filter("degree > 1").select("call_id"), "call_id")
+        ends = chains.select(F.col("call_id").alias("needs"), "anchor", "distance")
+        lone = degrees.filter("degree = 1").select(F.col("call_id").alias("needs"), F.lit(True).alias("lone"))
+        led = left.join(lone, "needs", "left").join(ends, "needs", "left")
+        anchor = F.when(F.col("lone").isNull(), F.col("needs")).otherwise(F.col("anchor"))
+        led = settle(led.select("call_id", anchor.alias("anchor"), F.coalesce("distance", F.lit(0)).alias("distance")), "led")
+        roots, ready = settle(done, "levels"), None
+        while closed < total:
+            settled = roots if ready is None else roots.union(ready)
+            marked = led.join(settled.withColumnRenamed("call_id", "anchor"), "anchor", "left")
+            above = F.col("level") + F.col("distance")
+            open_ = marked.groupBy("call_id").agg(F.max(above).alias("top"), F.count(F.lit(1)).alias("all"), F.count("level").alias("known"))
+            fresh = open_.filter(F.col("all") == F.col("known")).select("call_id", (F.col("top") + 1).cast("int").alias("level"))
+            ready, state = settle_measured(fresh, "levels", n=F.count(F.lit(1)))
+            if state["n"] == closed:
+                break
+            closed = state["n"]
+        done = roots.union(ready)
+    done = settle(done, "levels")
+    behind = chains.join(done.withColumnRenamed("call_id", "anchor"), "anchor")
+    everything = done.union(behind.select("call_id", (F.col("level") + F.col("distance")).cast("int").alias("level")))
     return calls.select("call_id").join(everything, "call_id", "left")
 
 
