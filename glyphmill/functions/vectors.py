@@ -38,7 +38,7 @@ def is_empty(vector: Column) -> Column:
 
 
 def is_not_finite(vector: Column) -> Column:
-    return F.exists(_doubles(vector), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.exists(_doubles(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
 def status(vector: Column) -> Column:
@@ -61,20 +61,41 @@ def profile(vector: Column) -> list[Column]:
     ]
 
 
+def _above_tie(x: Column, seven: Column) -> Column:
+    """Sign of ``x`` less the decimal number ``seven`` (seven digits), both positive.
+
+    The product of ``x`` with a power of ten is split into its rounded value and the rounding
+    error, so the comparison is exact for powers up to 22; beyond, the two count as equal.
+    """
+    exponent = F.element_at(F.split(seven, "e"), 2).cast("int")
+    digits = F.regexp_replace(F.element_at(F.split(seven, "e"), 1), r"\.", "").cast("double")
+    power = F.concat(F.lit("1e"), F.least(F.greatest(F.lit(6) - exponent, F.lit(0)), F.lit(22)).cast("string")).cast("double")
+
+    def parts(value: Column) -> tuple[Column, Column]:
+        upper = value * 134217729.0 - (value * 134217729.0 - value)
+        return upper, value - upper
+
+    (xh, xl), (ph, pl), product = parts(x), parts(power), x * power
+    error = ((xh * ph - product) + xh * pl + xl * ph) + xl * pl
+    return F.when(exponent.between(-16, 6), F.signum((product - digits) + error)).otherwise(0.0)
+
+
 def _six_digits(x: Column) -> Column:
     """The C format ``%g`` of a double: six significant digits, no trailing zeros."""
-    # The JVM rounds ties away from zero, C rounds them to even. A tie shows as a
-    # value that seven digits ending in 5 give back exactly; nudging it towards
-    # zero keeps an even sixth digit.
-    seven = F.format_string("%.6e", x)
-    tie = (seven.cast("double") == x) & seven.rlike(r"[02468]5e")
+    # The JVM rounds the shortest decimal of a double, ties away from zero; C rounds its exact
+    # value, ties to even. They differ where seven digits ending in 5 give the double back:
+    # there a nudge towards zero is due if the double is below the tie, or on it after an even digit.
+    seven = F.format_string("%.6e", F.abs(x))
+    near = seven.rlike("5e") & (seven.cast("double") == F.abs(x))
+    side = _above_tie(F.abs(x), seven)
+    tie = F.when(near, (side < 0) | ((side == 0) & seven.rlike(r"[02468]5e"))).otherwise(False)
     rounded = F.format_string("%.6g", F.when(tie, x * F.lit(1 - 1e-9)).otherwise(x))
     short = F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
     return (
         F.when(F.isnan(x), "nan")
         .when(x == float("inf"), "inf")
         .when(x == float("-inf"), "-inf")
-        .when(x == 0, "0")
+        .when(x == 0, F.when(x.cast("string").startswith("-"), "-0").otherwise("0"))
         .otherwise(short)
     )
 

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.functions.ids import MAX_LENGTH
 from glyphmill.operators.embed import BATCH_SIZE, Encoder, OnnxEncoder, embed
-from glyphmill.operators.lexicon import Lexicon
+from glyphmill.operators.lexicon import Lexicon, build_lexicon
 from glyphmill.operators.tokens import KEYS
-from glyphmill.sources.model import send_model, vocabulary_file
+from glyphmill.sources.model import send_model, shared_vocabulary
 from glyphmill.sources.texts import from_strings
 from glyphmill.sources.vocabulary import Vocabulary
 
@@ -24,9 +25,7 @@ class TextModel:
     @classmethod
     def from_directory(cls, spark: SparkSession, directory: str | None = None) -> TextModel:
         """Load ``vocab.txt`` and send the ONNX file of a directory to the executors."""
-        name = send_model(spark, directory)
-        path = vocabulary_file(directory).absolute().as_uri()
-        return cls(Vocabulary.from_file(spark, path), OnnxEncoder(name))
+        return cls(Vocabulary.from_file(spark, shared_vocabulary(spark, directory)), OnnxEncoder(send_model(spark, directory)))
 
     def embed(
         self, texts: DataFrame, keys: Sequence[str] = KEYS, lexicon: Lexicon | None = None, **options
@@ -42,5 +41,7 @@ class TextModel:
         through ``embed``.
         """
         spark = self.vocabulary.entries.sparkSession
-        rows = self.embed(from_strings(spark, sentences), batch_size=batch_size or self.batch_size)
+        texts = from_strings(spark, sentences)
+        lexicon = build_lexicon(texts, self.vocabulary, max_words=MAX_LENGTH - 1, stored=False)
+        rows = self.embed(texts, lexicon=lexicon, batch_size=batch_size or self.batch_size)
         return [row.embedding for row in rows.orderBy("text_id").collect()]

@@ -67,13 +67,20 @@ class OnnxEncoder:
 
 
 def padded(ids: pa.ListArray, length: int, pad_id: int) -> np.ndarray:
-    """Lists of ids as one ``[rows, length]`` int64 array, filled up with the pad id."""
+    """Lists of ids as one ``[rows, length]`` int64 array, filled up with the pad id.
+
+    A longer list is cut and keeps its last id, the separator, at the end.
+    """
     bounds = ids.offsets.to_numpy()
     sizes = np.diff(bounds)
     block = np.full((len(ids), length), pad_id, dtype=np.int64)
     rows = np.repeat(np.arange(len(ids)), sizes)
     places = np.arange(bounds[0], bounds[-1]) - np.repeat(bounds[:-1], sizes)
-    block[rows, places] = ids.values.to_numpy()[bounds[0] : bounds[-1]]
+    values = ids.values.to_numpy()[bounds[0] : bounds[-1]]
+    inside = places < length
+    block[rows[inside], places[inside]] = values[inside]
+    long = np.flatnonzero(sizes > length)
+    block[long, length - 1] = values[bounds[long + 1] - bounds[0] - 1]
     return block
 
 
@@ -91,9 +98,17 @@ def _as_lists(vectors: np.ndarray) -> pa.ListArray:
 
 
 def _vectors(encoder: Encoder, ids: pa.ListArray, pad_id: int, length: int) -> pa.ListArray:
-    block = padded(ids, length, pad_id)
+    """The vectors of a chunk; a NULL list gets none."""
+    given = ids.drop_null()
+    if not len(given):
+        return pa.nulls(len(ids), VECTOR)
+    block = padded(given, length, pad_id)
     mask = (block != pad_id).astype(np.int64)
-    return _as_lists(unit_rows(encoder(block, np.zeros_like(block), mask)[:, 0, :]))
+    found = _as_lists(unit_rows(encoder(block, np.zeros_like(block), mask)[:, 0, :]))
+    if not ids.null_count:
+        return found
+    place = np.cumsum(ids.is_valid().to_numpy(zero_copy_only=False)) - 1
+    return found.take(pa.array(place, mask=ids.is_null().to_numpy(zero_copy_only=False)))
 
 
 def _chunks(batch: pa.Array, size: int) -> Iterator[pa.Array]:
@@ -104,7 +119,10 @@ VECTOR = pa.list_(pa.float32())
 
 
 def _failing_udf(encoder: Encoder, pad_id: int, size: int, length: int):
-    """Vectors; a model error fails the task."""
+    """Vectors; a model error fails the task.
+
+    Not deterministic to Spark: a filter on the vectors must not run the model again.
+    """
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -114,7 +132,7 @@ def _failing_udf(encoder: Encoder, pad_id: int, size: int, length: int):
                 [pa.array([], VECTOR), *(_vectors(encoder, ids, pad_id, length) for ids in _chunks(batch, size))]
             )
 
-    return run
+    return run.asNondeterministic()
 
 
 def _reporting_udf(encoder: Encoder, pad_id: int, size: int, length: int):
@@ -134,13 +152,16 @@ def _reporting_udf(encoder: Encoder, pad_id: int, size: int, length: int):
             none = pa.array([], pa.struct([("embedding", VECTOR), ("error", pa.string())]))
             yield pa.concat_arrays([none, *(attempt(ids) for ids in _chunks(batch, size))])
 
-    return run
+    return run.asNondeterministic()
 
 
 def embedding(
     ids: Column, encoder: Encoder, pad_id: int, batch_size: int | None = None, length: int = MAX_LENGTH
 ) -> Column:
-    """The unit vector of each id array: the model's state at the first position, normalised."""
+    """The unit vector of each id array: the model's state at the first position, normalised.
+
+    Arrays beyond ``length`` are cut and keep their last id; a NULL array has no vector.
+    """
     return _failing_udf(encoder, pad_id, batch_size or BATCH_SIZE, length)(ids)
 
 

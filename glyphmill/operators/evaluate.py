@@ -63,9 +63,13 @@ def nearest_centroid(
     in its own row and no table of pairs is built. They are labels times width
     in size and are measured before they are broadcast.
     """
+    # A centroid without length has the cosine 0 with everything.
     scaled = centroid_table.withColumn("length", norm(F.col("centroid"))).select(
         "experiment",
-        F.struct("label", F.transform("centroid", lambda x: x / F.col("length")).alias("unit")).alias("model"),
+        F.struct(
+            "label",
+            F.transform("centroid", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("unit"),
+        ).alias("model"),
     )
     models = bounded(
         scaled.groupBy("experiment").agg(F.collect_list("model").alias("models")),
@@ -80,12 +84,18 @@ def nearest_centroid(
     def score(model):
         products = F.zip_with(F.col("vector"), model["unit"], lambda x, y: x * y)
         total = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-        return F.struct(total.alias("score"), (-model["label"]).alias("minus_label"))
+        return F.struct(total.alias("score"), model["label"].alias("label"))
 
-    best = F.array_max(F.transform("models", score))
-    return asked.join(models, "experiment").select(
-        "experiment", key, "label", (-best["minus_label"]).alias("prediction")
-    )
+    scored = asked.join(models, "experiment").select("experiment", key, "label", F.transform("models", score).alias("scores"))
+    # Of equal scores the smallest label counts, whatever type labels have.
+    top = F.array_max(F.transform("scores", lambda s: s["score"]))
+    best = F.array_min(F.transform(F.filter("scores", lambda s: s["score"] == top), lambda s: s["label"]))
+    return scored.select("experiment", key, "label", best.alias("prediction"))
+
+
+def held_out(predictions: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
+    """The predictions of rows that their experiment was not trained on."""
+    return predictions.join(_few(drawn, key), ["experiment", key], "left_anti")
 
 
 def linear_probe(

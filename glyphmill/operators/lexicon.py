@@ -59,10 +59,17 @@ def _follow(matches: Column, value_type: str) -> Column:
     return F.aggregate(runs, state(F.lit(1), F.array().cast(f"array<array<{value_type}>>")), add_run)
 
 
-def segment(distinct: DataFrame, vocabulary: Vocabulary, value: str = "token_id", limit: int = BROADCAST_BYTES) -> DataFrame:
+def segment(
+    distinct: DataFrame,
+    vocabulary: Vocabulary,
+    value: str = "token_id",
+    limit: int = BROADCAST_BYTES,
+    named: bool = False,
+) -> DataFrame:
     """Pieces of distinct words: ``(word, n)`` to ``(word_key, n, pieces)``.
 
-    ``value`` picks what a piece is given as: its ``token_id`` or its ``token``.
+    ``value`` picks what a piece is given as: its ``token_id`` or its ``token``. ``named``
+    adds the word itself, which for long words is not its key.
     """
     value_type, unknown = {
         "token_id": ("int", F.lit(vocabulary.unk_piece)),
@@ -97,6 +104,7 @@ def segment(distinct: DataFrame, vocabulary: Vocabulary, value: str = "token_id"
         .select(
             "word_key", "n", "length", "whole", "start", "size",
             F.when(F.col("start") == 1, F.col("text")).otherwise(F.concat(F.lit(INNER), F.col("text"))).alias("piece"),
+            *([F.when(first, F.col("word")).alias("word")] if named else []),  # its first candidate always stays
         )
     )
 
@@ -115,15 +123,17 @@ def segment(distinct: DataFrame, vocabulary: Vocabulary, value: str = "token_id"
         matched = opening.union(inner)
     match = F.struct("start", (-F.col("size")).alias("shorter"), "value")
     gathered = matched.groupBy("word_key", "n", "length", "whole").agg(
-        F.collect_list(F.when(F.col("value").isNotNull(), match)).alias("matches")
+        F.collect_list(F.when(F.col("value").isNotNull(), match)).alias("matches"),
+        *([F.max("word").alias("word")] if named else []),
     )
     ordered = gathered.withColumn("matches", F.sort_array("matches"))
     folded = ordered.withColumn("walk", _follow(F.col("matches"), value_type))
     pieces = F.flatten("walk.values")
     rest = F.when(F.col("walk.next") <= F.col("length"), F.array(unknown)).otherwise(F.array().cast(f"array<{value_type}>"))
     return folded.select(
-        "word_key", "n", F.when(found, F.array("whole")).otherwise(F.concat(pieces, rest)).alias("pieces")
-    )
+        "word_key", *(["word"] if named else []), "n",
+        F.when(found, F.array("whole")).otherwise(F.concat(pieces, rest)).alias("pieces"),
+    )
 
 
 @dataclass(frozen=True)
@@ -178,10 +188,17 @@ def build_lexicon(
     text: str = "text",
     max_words: int | None = None,
     limit: int = BROADCAST_BYTES,
+    stored: bool = True,
 ) -> Lexicon:
-    """Segment the distinct words of ``texts``. Runs one job and settles its result."""
+    """Segment the distinct words of ``texts``. Runs one job and settles its result.
+
+    ``stored=False`` is for a few texts in memory: nothing is written or counted, the
+    words are segmented in the plan that uses them.
+    """
     distinct = count_words(word_table(texts, (), text, max_words))
     entries = segment(distinct, vocabulary, limit=limit).withColumnRenamed("pieces", "ids")
+    if not stored:
+        return Lexicon(entries, 0, 0, 0)
     table, measured = settle_measured(
         entries,
         "lexicon",

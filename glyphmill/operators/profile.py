@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import profile
+from glyphmill.session import settle_measured
 from glyphmill.sources.vocabulary import Vocabulary
 
 
@@ -28,22 +29,28 @@ def table_profile(vectors: DataFrame, column: str = "embedding") -> DataFrame:
         F.max("dimension").cast("bigint").alias("most_dimension"),
         F.min("lowest").alias("lowest"),
         F.max("highest").alias("highest"),
-        (F.sum("total") / F.sum("dimension")).alias("mean"),
+        F.when(F.sum("dimension") > 0, F.sum("total") / F.sum("dimension")).alias("mean"),
     )
 
 
+def counted_run(
+    texts: DataFrame, embedded: DataFrame, vocabulary: Vocabulary, column: str = "embedding"
+) -> tuple[DataFrame, DataFrame]:
+    """The embeddings, settled, and one row: texts read, embeddings made, their width, vocabulary size, special ids.
+
+    The counts are taken while the embeddings are written, so the model runs once.
+    """
+    table, counted = settle_measured(embedded, "embedded", embeddings=F.count(F.lit(1)), dimension=F.max(F.size(column)))
+    facts = {
+        "embeddings": counted["embeddings"],
+        "dimension": counted["dimension"],
+        "vocabulary_size": vocabulary.tokens,
+        **{f"{name}_id": value for name, value in vars(vocabulary.special).items()},
+    }
+    counts = texts.agg(F.count(F.lit(1)).alias("texts"))
+    return table, counts.select("*", *[F.lit(value).cast("bigint").alias(name) for name, value in facts.items()])
+
+
 def run_counts(texts: DataFrame, embedded: DataFrame, vocabulary: Vocabulary, column: str = "embedding") -> DataFrame:
-    """One row: texts read, embeddings made, their width, vocabulary size, special ids."""
-    marked = texts.select(F.lit(1).alias("text"), F.lit(0).alias("vector"), F.lit(0).alias("width")).union(
-        embedded.select(F.lit(0), F.lit(1), F.size(column))
-    )
-    special = vocabulary.special
-    return marked.agg(
-        F.sum("text").alias("texts"),
-        F.sum("vector").alias("embeddings"),
-        F.max("width").cast("bigint").alias("dimension"),
-    ).select(
-        "*",
-        F.lit(vocabulary.tokens).cast("bigint").alias("vocabulary_size"),
-        *[F.lit(value).cast("bigint").alias(f"{name}_id") for name, value in vars(special).items()],
-    )
+    """The counts of ``counted_run`` alone."""
+    return counted_run(texts, embedded, vocabulary, column)[1]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.ids import MAX_LENGTH, pad, truncate
 from glyphmill.operators.lexicon import Lexicon, build_lexicon
-from glyphmill.operators.words import word_key, word_table
+from glyphmill.operators.words import first_words, split_words, word_key, word_table
 from glyphmill.session import BROADCAST_BYTES
 from glyphmill.sources.vocabulary import INNER, Vocabulary
 
@@ -29,8 +29,11 @@ def lookup_ids(tokens: DataFrame, vocabulary: Vocabulary, column: str = "token",
 
 
 def _in_order(pairs: str | Column) -> Column:
-    """The id lists of ``(wpos, ids)`` pairs, joined in word order."""
-    return F.flatten(F.transform(F.sort_array(pairs), lambda pair: pair["ids"]))
+    """The id lists of ``(wpos, ids)`` pairs, joined in word order; two texts under one key are an error."""
+    ordered = F.sort_array(pairs)
+    once = F.size(F.array_distinct(F.transform(ordered, lambda pair: pair["wpos"]))) == F.size(ordered)
+    joined = F.flatten(F.transform(ordered, lambda pair: pair["ids"]))
+    return F.when(once, joined).otherwise(F.raise_error(F.lit("two texts have one key")).cast("array<int>"))
 
 
 def _pair_list(resolved: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -48,10 +51,12 @@ def _piece_ids(
     distributed: bool,
 ) -> DataFrame:
     """``(keys, piece_ids)``: the ids of all pieces of a text, in order."""
-    placed = texts.select(*keys, text)
+    # Only the words that count travel.
+    placed = texts.select(*keys, F.col(text) if max_words is None else first_words(F.col(text), max_words).alias(text))
     if not distributed:
         placed = placed.repartition(*keys)
-    rows = word_table(placed, keys, text, max_words).withColumn("word_key", word_key(F.col("word")))
+    listed = split_words(F.col(text)) if max_words is not None else None
+    rows = word_table(placed, keys, text, listed=listed).withColumn("word_key", word_key(F.col("word")))
     near, far = lexicon.split(limit)
     looked_up = rows.join(F.broadcast(near), "word_key", "left_outer")
     if far is None:
@@ -84,13 +89,25 @@ def tokenize(
     text: str = "text",
     limit: int = BROADCAST_BYTES,
     distributed: bool = False,
-    max_words: int | None = None,
 ) -> DataFrame:
     """``(keys, token_ids)``: class token, pieces of all words in order, separator.
 
-    ``keys`` identify a text. ``distributed`` says that the texts are already
-    spread by ``keys`` (a table bucketed by them), so no shuffle is asked for.
+    ``keys`` identify a text: two texts under one key fail the job. ``distributed`` says that the
+    texts are already spread by ``keys`` (a table bucketed by them), so no shuffle is asked for.
     """
+    return _tokenize(texts, vocabulary, lexicon, keys, text, limit, distributed, None)
+
+
+def _tokenize(
+    texts: DataFrame,
+    vocabulary: Vocabulary,
+    lexicon: Lexicon | None,
+    keys: Sequence[str],
+    text: str = "text",
+    limit: int = BROADCAST_BYTES,
+    distributed: bool = False,
+    max_words: int | None = None,
+) -> DataFrame:
     if lexicon is None:
         lexicon = build_lexicon(texts, vocabulary, text, max_words, limit)
     special = vocabulary.special
@@ -121,7 +138,7 @@ def model_ids(
     ``length`` ids, or show that there are more, are the first ``length - 1``.
     The result is that of cutting the whole token list; long texts cost less.
     """
-    tokens = tokenize(texts, vocabulary, lexicon, keys, max_words=max(length - 1, 1), **options)
+    tokens = _tokenize(texts, vocabulary, lexicon, keys, max_words=max(length - 1, 1), **options)
     return tokens.withColumn("token_ids", truncate(F.col("token_ids"), vocabulary.special.sep, length))
 
 

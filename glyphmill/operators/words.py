@@ -20,14 +20,27 @@ def word_key(word: Column) -> Column:
     return F.when(F.octet_length(word) <= KEY_BYTES, word).otherwise(digest)
 
 
+def first_words(text: Column, count: int) -> Column:
+    """The first words of a text, one space between; ``split_words`` takes them apart."""
+    return F.array_join(F.slice(words(text), 1, count), " ")
+
+
+def split_words(joined: Column) -> Column:
+    return F.filter(F.split(joined, " "), lambda word: word != "")
+
+
 def word_table(
     texts: DataFrame,
     keys: Sequence[str] = ("text_id",),
     text: str = "text",
     max_words: int | None = None,
+    listed: Column | None = None,
 ) -> DataFrame:
-    """One row per word: ``(keys, wpos, word)``. A text without words keeps one row of NULLs."""
-    listed = words(F.col(text))
+    """One row per word: ``(keys, wpos, word)``. A text without words keeps one row of NULLs.
+
+    ``listed`` gives the words of texts that are split otherwise.
+    """
+    listed = words(F.col(text)) if listed is None else listed
     if max_words is not None:
         listed = F.slice(listed, 1, max_words)
     return texts.select(*keys, F.posexplode_outer(listed).alias("wpos", "word"))

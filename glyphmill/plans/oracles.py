@@ -146,7 +146,7 @@ damaged as (
 
 
 def _g(vector: str) -> str:
-    shown = "case when isnan(x) then 'nan' when isinf(x) then case when x > 0 then 'inf' else '-inf' end when x = 0 then '0' else printf('%g', x) end"
+    shown = "case when isnan(x) then 'nan' when isinf(x) then case when x > 0 then 'inf' else '-inf' end else printf('%g', x) end"
     return f"array_to_string(list_transform({vector}, lambda x: {shown}), ' ')"
 
 
@@ -187,7 +187,8 @@ centroids as (select experiment, label, list(value order by pos) as centroid fro
 scored as (
   select c.experiment, e.vec_id, e.label, c.label as candidate,
          list_cosine_similarity(e.embedding::double[], c.centroid) as score
-  from embeddings e, centroids c),
+  from embeddings e, centroids c
+  where not exists (select 1 from drawn d where d.experiment = c.experiment and d.vec_id = e.vec_id)),
 predictions as materialized (
   select experiment, vec_id, label, candidate as prediction from scored
   qualify row_number() over (partition by experiment, vec_id order by score desc, candidate) = 1)"""
@@ -375,6 +376,12 @@ ORACLES: dict[str, str] = {
         select a.vec_id, {_six('list_cosine_similarity(a.embedding::double[], b.embedding::double[])')} as similarity
         from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
     "few_shot": _chain(DRAWN, last="select experiment, vec_id, label from drawn"),
+    "linear_probe_facts": _chain(
+        DRAWN,
+        last="""select x.experiment, count(*) as rows, sum(e.vec_id)::bigint as ids, sum(e.label)::bigint as labels, 0::bigint as strange
+        from embeddings e cross join (select distinct experiment from drawn) x
+        where not exists (select 1 from drawn d where d.experiment = x.experiment and d.vec_id = e.vec_id) group by 1""",
+    ),
     "nearest_centroid": _chain(PREDICTED, last="select experiment, vec_id, label, prediction from predictions"),
     "label_scores": _chain(
         SCORED,
@@ -396,3 +403,4 @@ ORACLES: dict[str, str] = {
                round(avg(f1_weighted), 6) as f1_weighted, count(*) as experiments from scores""",
     ),
 }
+ORACLES["embed_checked"] = ORACLES["embed"]

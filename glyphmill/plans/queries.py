@@ -16,7 +16,7 @@ from glyphmill.operators.embed import embed as embed_texts
 from glyphmill.operators.embed import encode as encode_texts
 from glyphmill.operators.words import word_table
 from glyphmill.plans.fixture import MixingEncoder, table, texts, vocabulary
-from glyphmill.session import shared_folder, spread
+from glyphmill.session import settle, shared_folder, spread
 from glyphmill.sinks import files
 from glyphmill.sources import texts as text_sources
 from glyphmill.sources.vocabulary import forward, special_tokens, token_lines
@@ -121,9 +121,8 @@ def learnt_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 def wordpiece(spark: SparkSession, folder: str) -> DataFrame:
     distinct = lexicon.count_words(word_table(texts(spark, folder)))
-    pieces = lexicon.segment(distinct, vocabulary(spark, folder), value="token")
-    # No word of these tables is longer than a key, so the key is the word.
-    return pieces.select(F.col("word_key").alias("word"), "n", F.array_join("pieces", " ").alias("pieces"))
+    pieces = lexicon.segment(distinct, vocabulary(spark, folder), value="token", named=True)
+    return pieces.select("word", "n", F.array_join("pieces", " ").alias("pieces"))
 
 
 def token_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,6 +224,12 @@ def run_counts(spark: SparkSession, folder: str) -> DataFrame:
     return profile.run_counts(texts(spark, folder), _embedded(spark, folder), vocabulary(spark, folder))
 
 
+def embed_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors that pass the checks; the model runs once, in front of them."""
+    good, _ = quality.quarantine(_embedded(spark, folder))
+    return exploded(good, "text_id", F.col("embedding").cast("array<double>"))
+
+
 # --- vectors --------------------------------------------------------------
 
 
@@ -342,8 +347,9 @@ def few_shot(spark: SparkSession, folder: str) -> DataFrame:
 
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _vectors(spark, folder)
-    means = evaluate.centroids(vectors, evaluate.few_shot(vectors, "vec_id"), "vec_id")
-    return evaluate.nearest_centroid(vectors, means, "vec_id")
+    drawn = settle(evaluate.few_shot(vectors, "vec_id"), "few-shot")
+    predicted = evaluate.nearest_centroid(vectors, evaluate.centroids(vectors, drawn, "vec_id"), "vec_id")
+    return evaluate.held_out(predicted, drawn, "vec_id")
 
 
 def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,7 +358,19 @@ def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
 
 def linear_probe(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _vectors(spark, folder)
-    return evaluate.linear_probe(vectors, evaluate.few_shot(vectors, "vec_id"), "vec_id")
+    drawn = settle(evaluate.few_shot(vectors, "vec_id"), "few-shot")
+    return evaluate.held_out(evaluate.linear_probe(vectors, drawn, "vec_id"), drawn, "vec_id")
+
+
+def linear_probe_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per experiment what is known without a fit: rows, ids, their labels, and predictions outside the labels."""
+    labels = [row.label for row in _vectors(spark, folder).select("label").distinct().collect()]
+    return linear_probe(spark, folder).groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("vec_id").alias("ids"),
+        F.sum("label").cast("bigint").alias("labels"),
+        F.count(F.when(~F.col("prediction").isin(labels), 1)).alias("strange"),
+    )
 
 
 def _score(name: str) -> Query:
@@ -399,10 +417,10 @@ QUERIES: dict[str, Query] = {
         "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_conversations",
         "token_table", "token_head", "encode", "attention_mask", "token_types",
         "batch_ids", "batch_sizes", "flat_batch", "detokenize",
-        "embed", "embed_conversations", "run_counts",
+        "embed", "embed_checked", "embed_conversations", "run_counts",
         "l2_normalize", "bad_vectors", "bad_lines", "parse_embeddings", "format_embeddings", "text_sink",
         "cardinality", "unpaired", "embedding_profile", "table_profile", "cosine",
-        "few_shot", "nearest_centroid", "linear_probe", "label_scores",
+        "few_shot", "nearest_centroid", "linear_probe", "linear_probe_facts", "label_scores",
         "accuracy", "macro_f1", "weighted_f1", "score_summary", "score_report",
     )
 }

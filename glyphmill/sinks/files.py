@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import format_vector
 from glyphmill.operators.quality import read_lines
+from glyphmill.session import settle
+from glyphmill.sources.texts import numbered_lines
 
 
 def write_text(vectors: DataFrame, path: str, key: str = "text_id", column: str = "embedding") -> None:
-    """A vector per line, in key order over the files: values in six digits, one space between."""
-    lines = vectors.select(key, format_vector(F.col(column)).alias("value"))
+    """A vector per line, in key order over the files: values in six digits, one space between.
+
+    Sorting looks at its input twice, so the lines are settled first: the model behind them runs once.
+    """
+    lines = settle(vectors.select(key, format_vector(F.col(column)).alias("value")), "lines")
     lines.orderBy(key).select("value").write.text(path)
 
 
@@ -30,5 +35,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of numbers back as vectors: ``(value, embedding, status)``."""
-    return read_lines(spark.read.text(path))
+    """Lines of numbers back as vectors: ``(line, value, embedding, status)``.
+
+    ``line`` counts the lines from 0 in the order they were written, blank ones included:
+    by file, place of the block in the file, and row in the block.
+    """
+    return read_lines(numbered_lines(spark, path))

@@ -2,40 +2,82 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
+from glyphmill.session import shared_folder
+
 # Where a model directory keeps its files, and the variable that names one.
 MODEL_FILES = ("onnx/model.onnx", "model.onnx")
 VOCABULARY_FILE = "vocab.txt"
 DIRECTORY_VARIABLE = "EMBEDDING_MODEL_PATH"
 
 
-def model_directory(given: str | None = None) -> Path:
-    """The directory given, else the one named by the environment."""
-    directory = given or os.environ.get(DIRECTORY_VARIABLE)
+_sent: dict[tuple[str, str], str] = {}
+
+
+def _is_uri(path: str) -> bool:
+    return "://" in path or path.startswith("file:")
+
+
+def model_directory(given: str | None = None) -> Path | str:
+    """The directory given, else the one named by the environment: a local folder, or a URI that Spark reads."""
+    directory = str(given or os.environ.get(DIRECTORY_VARIABLE) or "")
     if not directory:
         raise ValueError(f"name a model directory or set {DIRECTORY_VARIABLE}")
-    return Path(directory)
+    return directory.rstrip("/") if _is_uri(directory) else Path(directory)
+
 
+def _below(directory: Path | str, name: str) -> Path | str:
+    return directory / name if isinstance(directory, Path) else f"{directory}/{name}"
 
-def model_file(directory: str | None = None) -> Path:
-    """The first model file that exists."""
-    candidates = [model_directory(directory) / name for name in MODEL_FILES]
+
+def _remote_content(spark: SparkSession, path: str) -> bytes | None:
+    """The bytes of a file that Spark reads (a model is what one process can hold), None if there is none."""
+    try:
+        return bytes(spark.read.format("binaryFile").load(path).select("content").head().content)
+    except AnalysisException:
+        return None
+
+
+def model_file(directory: str | None = None, spark: SparkSession | None = None) -> Path | str:
+    """The first model file that exists; URIs need the session."""
+    candidates = [_below(model_directory(directory), name) for name in MODEL_FILES]
     for candidate in candidates:
-        if candidate.exists():
+        if candidate.exists() if isinstance(candidate, Path) else _remote_content(spark, candidate) is not None:
             return candidate
     raise FileNotFoundError("no model file; looked for " + ", ".join(map(str, candidates)))
 
 
-def vocabulary_file(directory: str | None = None) -> Path:
-    return model_directory(directory) / VOCABULARY_FILE
+def vocabulary_file(directory: str | None = None) -> Path | str:
+    return _below(model_directory(directory), VOCABULARY_FILE)
+
+
+def shared_vocabulary(spark: SparkSession, directory: str | None = None) -> str:
+    """A path of the vocabulary that every executor can read: a local file is copied to the shared folder."""
+    path = vocabulary_file(directory)
+    if not isinstance(path, Path):
+        return path
+    content = path.read_bytes().decode("utf-8", "replace")
+    copy = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
+    spark.createDataFrame([(content.removesuffix("\n"),)], "value string").coalesce(1).write.text(copy)
+    return copy
 
 
 def send_model(spark: SparkSession, directory: str | None = None) -> str:
-    """Send the model file to all executors; returns the name an ``OnnxEncoder`` takes."""
-    path = model_file(directory)
-    spark.sparkContext.addFile(str(path))
-    return path.name
+    """Send the model file to all executors under a name of its content; returns what an ``OnnxEncoder`` takes."""
+    path = model_file(directory, spark)
+    content = path.read_bytes() if isinstance(path, Path) else _remote_content(spark, path)
+    sent = (spark.sparkContext.applicationId, hashlib.sha256(content).hexdigest())
+    if sent not in _sent:
+        named = Path(tempfile.mkdtemp(prefix="glyphmill-")) / f"{sent[1][:16]}-{Path(path).name}"
+        named.write_bytes(content)
+        spark.sparkContext.addFile(str(named))
+        _sent[sent] = named.name
+    return _sent[sent]

@@ -10,6 +10,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.operators.words import with_ordinal
+from glyphmill.session import bounded, settle
+
 NUL = "\0"
 
 # The only escapes a delimiter option understands.
@@ -51,16 +54,39 @@ def read_whole(spark: SparkSession, path: str, delimiter: str = "") -> DataFrame
     return split_blobs(files, "file", "blob", delimiter)
 
 
+def _pieces(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """``(file, block, row, text)``: ``block, row`` is the order of the pieces of a file."""
+    read = spark.read.text(path, lineSep=separator) if separator else spark.read.text(path)
+    return read.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value").alias("text"),
+    )
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line, value)``: the lines of text files in order of files and lines, counted from 0."""
+    lines = settle(_pieces(spark, path), "lines")
+    numbered = with_ordinal(lines, "file", "block", "row", name="line")
+    return numbered.select("line", F.col("text").alias("value"))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "") -> DataFrame:
-    """Delimited files of any size, split between tasks at the delimiter.
+    """Delimited files of any size as ``(file, position, text)``, split between tasks at the delimiter.
 
-    Needs files that end in their delimiter: otherwise a newline at the very
-    end of a file stays on its last text.
+    The texts are those of ``read_whole``: one newline at the very end of a file goes, empty
+    texts are left out, and positions count the texts of each file from 0.
     """
-    texts = spark.read.text(path, lineSep=delimiter_of(delimiter))
-    return texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).filter(
-        F.col("text") != ""
-    )
+    pieces = settle(_pieces(spark, path, delimiter_of(delimiter)), "pieces")
+    order = F.struct("block", "row")
+    lasts = pieces.groupBy("file").agg(F.max(order).alias("last"))
+    marked = pieces.join(bounded(lasts, "lasts", F.octet_length("file") + 32), "file")
+    text = F.when(order == F.col("last"), drop_final_newline(F.col("text"))).otherwise(F.col("text"))
+    kept = marked.select("file", "block", "row", text.alias("text")).filter(F.col("text") != "")
+    numbered = with_ordinal(kept, "file", "block", "row")
+    firsts = bounded(numbered.groupBy("file").agg(F.min("ordinal").alias("first")), "firsts", F.octet_length("file") + 24)
+    return numbered.join(firsts, "file").select("file", (F.col("ordinal") - F.col("first")).alias("position"), "text")
 
 
 def from_strings(spark: SparkSession, texts: str | list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from glyphmill.operators.embed import Encoder, embed
 from glyphmill.operators.tokens import KEYS
+from glyphmill.session import settled_scope
 from glyphmill.sources.vocabulary import Vocabulary
 
 
@@ -35,9 +36,12 @@ def embed_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         kept = batch.persist()  # read twice: for its words, and for its vectors
-        vectors = embed(kept, vocabulary, encoder, keys=keys, **options)
-        vectors.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        kept.unpersist()
+        try:
+            with settled_scope(batch.sparkSession):
+                vectors = embed(kept, vocabulary, encoder, keys=keys, **options)
+                vectors.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            kept.unpersist()
 
     writer = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
