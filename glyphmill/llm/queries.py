@@ -142,4 +142,53 @@ ORACLES: dict[str, str] = {
           true verified
         from f
     """,
+    "op5_jaccard_join": """
+        with recursive split as (
+          select doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') w
+          from documents
+        ), sets as (
+          select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end s
+          from split
+        ), rows_ as (
+          select doc_id, len(s) n, unnest(s) shingle from sets
+        ), shared as (
+          select a.doc_id x, b.doc_id y, any_value(a.n) nx, any_value(b.n) ny, count(*) c
+          from rows_ a join rows_ b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+        ), links as (
+          select x, y from shared where 100 * c >= 80 * (nx + ny - c)
+          union all select y, x from shared where 100 * c >= 80 * (nx + ny - c)
+        ), reach as (
+          select doc_id, doc_id other from documents
+          union select r.doc_id, l.y from reach r join links l on l.x = r.other
+        )
+        select s.doc_id, len(s.s) n_shingles, min(r.other) component_id
+        from sets s join reach r using (doc_id) group by 1, 2
+    """,
+    "op10_suffix_dedup": """
+        with h as (
+          select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents
+        ), windows as (
+          select doc_id, i, md5(substr(h, 2 * i + 1, 400)) w from (select doc_id, h, unnest(range(n - 199)) i from h where n >= 200)
+        ), starts as (
+          select doc_id, i from windows where w in (select w from windows group by 1 having count(*) > 1)
+        ), marked as (
+          select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 200 then 1 else 0 end fresh from starts
+        ), grouped as (
+          select doc_id, i, sum(fresh) over (partition by doc_id order by i) g from marked
+        ), spans as (
+          select doc_id, min(i) low, max(i) + 200 high from grouped group by doc_id, g
+        ), gaps as (
+          select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 0) before from spans
+        ), kept as (
+          select doc_id, count(*) n_spans, sum(high - low) removed, max(high) last_,
+            string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' order by low) k
+          from gaps join h using (doc_id) group by doc_id
+        )
+        select h.doc_id, n n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(n_spans, 0) n_spans,
+          sha256(unhex(coalesce(k || substr(h.h, 2 * last_ + 1), h.h))) kept_sha256
+        from h left join kept using (doc_id)
+    """,
 }
