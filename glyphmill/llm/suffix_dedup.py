@@ -39,7 +39,7 @@ SPAN = WINDOW - SEED + 1  # Seeds in a window, and distances a window can have f
 SHALLOW = 64
 CROWD = 256
 CHUNK = 1 << 19
-WORDS = 1 << 21  # The bit tables have 64 times as many bits.
+WORDS = 1 << 19  # The bit tables have 64 times as many bits.
 GATHERED = 20_000
 BROADCAST_BYTES = 16 * 1024 * 1024
 _POSITION = np.uint64((1 << 20) - 1)
