@@ -95,11 +95,13 @@ def with_posteriors(rates: DataFrame, moments: list[dict]) -> DataFrame:
 
 def rate_column(residuals: list[list[float]]) -> Column:
     """The rate after the steps with these weighted residuals: a step down the gradient, cut at 0."""
-    rate = F.lit(1.0)
-    for residual in residuals:
-        slope = reduce(lambda a, b: a + b, [F.col("p")[k] * F.lit(value) for k, value in enumerate(residual)])
-        rate = F.greatest(F.lit(0.0), rate - slope)
-    return rate
+    steps = F.array(*[F.array(*[F.lit(value) for value in residual]) for residual in residuals]).cast("array<array<double>>")
+
+    def step(rate: Column, residual: Column) -> Column:
+        slope = F.aggregate(F.zip_with("p", residual, lambda p, r: p * r), F.lit(0.0), lambda a, x: a + x)
+        return F.greatest(F.lit(0.0), rate - slope)
+
+    return F.aggregate(steps, F.lit(1.0), step)
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> list[list[float]]:
