@@ -13,8 +13,8 @@ depth, then a blind trie for each remaining group with a long common prefix. Two
 windows at the same distance from the minimizer are equal when both orders keep them
 together down to their ends.
 
-A minimizer with more than ``CROWD`` different runs is not gathered: its windows
-are counted one by one instead, by 128 bits of hash.
+A minimizer with more than ``CROWD`` different runs, more than are compared at a time, is
+not gathered: its windows are counted one by one instead, by 128 bits of hash.
 
 Defined cases: a null text has no bytes; texts under 200 bytes lose nothing;
 repeated rows repeat each other's windows; rows with equal id and text get equal results.
@@ -37,10 +37,10 @@ WINDOW = 200
 SEED = 40
 SPAN = WINDOW - SEED + 1  # Seeds in a window, and distances a window can have from its seed.
 SHALLOW = 64
-CROWD = 256
 CHUNK = 1 << 19
 WORDS = 1 << 19  # The bit tables have 64 times as many bits.
-GATHERED = 20_000
+GATHERED = 20_000  # Runs compared at a time, some 6 MB of text.
+CROWD = GATHERED
 BROADCAST_BYTES = 16 * 1024 * 1024
 _POSITION = np.uint64((1 << 20) - 1)
 
