@@ -1,11 +1,11 @@
-"""Benchmark passages in documents: rare word n-grams as seeds, then Smith-Waterman alignment.
-
-Words are runs of letters and digits of the lower-cased text. A first pass over
-the corpus counts in how many documents each n-gram of the benchmark occurs;
-every item keeps its rare n-grams as seeds (rare for the item: what is far more
-frequent than its middle n-gram goes, so an item that is copied everywhere keeps its seeds). A second pass looks
-up the seeds in each whole text; around their hits the item is aligned
-with the words of the text. ``score`` is the best local alignment over that of an
+"""Benchmark passages in documents: word n-grams as seeds, a bound, then Smith-Waterman alignment.
+
+Words are runs of letters and digits of the lower-cased text. All n-grams of an
+item are seeds, however often they occur: which of them a copy keeps depends on its
+edits, so none can be left out for its frequency. One pass looks up the seeds in each whole
+text; around their hits the item is aligned with the words of the text, unless the
+words that it shares with the item are too few for ``threshold`` in any order (``most``,
+never below the score). ``score`` is the best local alignment over that of an
 untouched copy (match 2, mismatch and gap -1), so 1 is verbatim and edited copies
 lose with every edit.
 
@@ -34,8 +34,6 @@ from glyphmill.session import settle_measured, ship
 
 SEED_WORDS = 4
 LEAST_WORDS = 5
-LEAST_SEEDS = 12
-RARE = 8  # Seeds occur in at most so many times the documents that the item's middle n-gram occurs in.
 THRESHOLD = 0.6
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -102,18 +100,6 @@ class Block:
         order = np.argsort(joined[0], kind="stable")
         return Block(ids, items, numbers, joined[0].astype(np.uint64)[order], joined[1][order], joined[2][order])
 
-    def with_rare(self, counts: dict[int, int]) -> Block:
-        """Without the n-grams that are far more frequent than is usual in their item; ``LEAST_SEEDS`` stay at least."""
-        frequency = np.array([counts.get(int(key), 0) for key in self.keys.view(np.int64)], np.int64)
-        order = np.lexsort((self.offsets, frequency, self.owners))
-        owner, sorted_ = self.owners[order], frequency[order]
-        starts = np.searchsorted(owner, np.arange(len(self.items)))
-        rank = np.arange(len(owner)) - starts[owner]
-        size = np.bincount(owner, minlength=len(self.items))
-        usual = np.maximum(sorted_[np.minimum(starts + size // 2, max(len(owner) - 1, 0))], 1) if len(owner) else size
-        kept = np.sort(order[(rank < LEAST_SEEDS) | (sorted_ <= RARE * usual[owner])])
-        return Block(self.item_ids, self.items, self.numbers, self.keys[kept], self.owners[kept], self.offsets[kept])
-
     @cached_property
     def table(self) -> np.ndarray:
         """One bit of truth per key prefix, to pass by most n-grams quickly."""
@@ -121,6 +107,11 @@ class Block:
         present[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
         return present
 
+    @cached_property
+    def marks(self) -> np.ndarray:
+        """Scratch: a word number's place tells whether it is in the item at hand; -1 is never."""
+        return np.zeros(len(self.numbers) + 1, bool)
+
     def ids(self, text: str | None) -> np.ndarray:
         get = self.numbers.get
         return np.array([get(word, -1) for word in words(text)], np.int32)
@@ -160,6 +151,15 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end - 1
 
 
+def most(shared: np.ndarray) -> int:
+    """No alignment with a text scores more; ``shared`` marks the words of the text that are in the item.
+
+    A word of the text matches at best, and costs as much as a gap if it is not in the item.
+    """
+    sums = np.cumsum(np.where(shared, MATCH, max(MISMATCH, GAP)))
+    return int((sums - np.minimum(np.minimum.accumulate(np.append(0, sums[:-1])), 0)).max(initial=0))
+
+
 def _windows(starts: np.ndarray, length: int, limit: int) -> Iterator[tuple[int, int]]:
     """Stretches of text around where the item would start, overlapping ones joined."""
     slack = length // 3 + SEED_WORDS
@@ -189,10 +189,14 @@ def leaks(text: str | None, block: Block, threshold: float = THRESHOLD) -> list[
     for number in np.unique(owner):
         item = block.items[number]
         best = (0.0, 0, 0)
+        block.marks[item] = True
         for a, b in _windows(start[owner == number], len(item), len(ids)):
+            if most(block.marks[ids[a:b]]) / (MATCH * len(item)) < threshold:
+                continue
             value, first, last = align(item, ids[a:b])
             if value > best[0]:
                 best = (value, a + first, a + last)
+        block.marks[item] = False
         if best[0] >= threshold:
             found.append((block.item_ids[number], *best))
     return sorted(found)
@@ -209,22 +213,6 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Block]:
         yield Block.of([(row.item, row.text) for row in part.orderBy("item", "text").collect()])
 
 
-def gram_counts(documents: DataFrame, block: Block, text: str) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs; bounded by the block."""
-    shared = documents.sparkSession.sparkContext.broadcast(block)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen = shared.value, {}
-        for frame in frames:
-            for value in frame["text"]:
-                for key in np.unique(own.hits(own.ids(value))[1].view(np.int64)).tolist():
-                    seen[key] = seen.get(key, 0) + 1
-        yield pd.DataFrame({"gram": list(seen), "n": list(seen.values())}, dtype="int64")
-
-    found = documents.select(F.col(text).alias("text")).mapInPandas(count, "gram bigint, n bigint")
-    return {row.gram: row.n for row in found.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-
-
 def with_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -239,8 +227,7 @@ def with_leaks(
     ship(spark)
     columns = []
     for block in _blocks(benchmark, item, item_text):
-        rare = block.with_rare(gram_counts(documents, block, text))
-        columns.append(_finder(spark.sparkContext.broadcast(rare), threshold)(F.col(text)))
+        columns.append(_finder(spark.sparkContext.broadcast(block), threshold)(F.col(text)))
     return documents.withColumn(name, F.concat(*columns) if columns else F.array().cast(LEAKS))
 
 

@@ -80,3 +80,20 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     whole = find(spark, texts, items)
     monkeypatch.setattr(D, "BLOCK_WORDS", 60)
     assert {k: sorted(v) for k, v in find(spark, texts, items).items()} == whole
+
+
+def test_an_edited_item_in_many_documents_is_found_in_all(spark):
+    """Also next to one verbatim copy, whose n-grams are then the rare ones."""
+    item = sentence(30)
+    copy = edited(item, 6)
+    texts = [" ".join(sentence(10) + copy + sentence(5)) for _ in range(60)]
+    for more in ([], [" ".join(item)]):
+        out = find(spark, texts + more, [(7, " ".join(item))])
+        assert all([x[0] for x in leaks] == [7] for leaks in out.values()) and len(out) == 60 + len(more)
+
+
+def test_the_bound_is_never_below_the_score():
+    for _ in range(200):
+        item, text = np.random.randint(0, 9, 12), np.random.randint(-1, 14, np.random.randint(1, 60))
+        assert D.most(np.isin(text, item)) >= D.local_scores(item, text)[0]
+    assert D.most(np.zeros(0, bool)) == 0 and D.most(np.array([True, False, True])) == 3
