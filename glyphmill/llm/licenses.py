@@ -71,13 +71,13 @@ FAMILIES = [
     ("odbl-1", "o", "(?:odbl|open database licen[sc]e)(?: version| v)?(?: 1 0)?"),
     ("odc-by", "odc", "odc by(?: 1 0)?"),
     ("cc0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "nd", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "sa", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
-    ("cc-by-nc", "nc", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial)(?: [1-4] [05])?"),
-    ("cc-by-nd", "nd", "(?:creative commons|cc) (?:by|attribution) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
-    ("cc-by-sa", "sa", "(?:creative commons|cc) (?:by|attribution) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
-    ("cc-by", "by", "(?:creative commons|cc) (?:by|attribution)(?: [1-4] [05])?"),
-    ("ms-pl", "ms", "(?:ms pl|microsoft public licen[sc]e)"),
+    ("cc-by-nc-nd", "c", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "c", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
+    ("cc-by-nc", "c", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial)(?: [1-4] [05])?"),
+    ("cc-by-nd", "c", "(?:creative commons|cc) (?:by|attribution) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
+    ("cc-by-sa", "c", "(?:creative commons|cc) (?:by|attribution) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
+    ("cc-by", "c", "(?:creative commons|cc) (?:by|attribution)(?: [1-4] [05])?"),
+    ("ms-pl", "m", "(?:ms pl|microsoft public licen[sc]e)"),
     ("elastic-2", "elastic", "elastic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
     ("bsl-1.1", "business", "business source(?: licen[sc]e)?(?: version| v)?(?: 1 1)?"),
     ("proprietary", "proprietary", "proprietary"),
@@ -108,13 +108,16 @@ RULES = [
     )
 ]
 
-def _gate(text: Column) -> Column:
-    """Whether a text can hold a notice or a base phrase; one that can is never left out."""
-    low = F.lower(text)
-    creative = low.contains("cc") & low.contains("by")
-    short = [low.contains(word) for word in ("gpl", "fdl", "mpl", "cddl", "cc0", "eupl", "odbl")]
-    grants = [low.contains(word) for word in ("licen", "spdx", "granted under", "commons", "ms-pl")]
-    return reduce(lambda a, b: a | b, grants + short, creative)
+# What rules without the word for license need: leading words of the forms, or how a name alone begins.
+LEADS = ("released under", "distributed under", "published under", "available under", "provided under", "granted under", "governed by", "covered by")
+NAMES = "apache gnu gpl lgpl agpl gfdl fdl mpl epl eupl cddl boost artistic ofl odbl cc0 elastic".split()
+PAIRS = ("creative commons", "cc by", "cc attribution", "ms pl", "business source")
+
+
+def _gate(words: Column) -> Column:
+    """Whether joined words can hold a notice or a base phrase; one that can is never left out."""
+    needed = ["license", "licence", *[f" {start}" for start in (*LEADS, *NAMES, *PAIRS)]]
+    return reduce(lambda a, b: a | b, [words.contains(word) for word in needed])
 
 
 def _spaces(text: Column) -> Column:
@@ -175,9 +178,8 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with ``n_words, base`` (start, label), ``found`` (kept detections), ``score``."""
     value = F.coalesce(F.col(text), F.lit(""))
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(value), BETWEEN, " ")), F.lit(" "))
-    words = documents.withColumns(
-        {"n_words": F.regexp_count(value, F.lit(WORD)).cast("bigint"), "_words": F.when(_gate(value), joined)}
-    )
+    words = documents.withColumns({"n_words": F.regexp_count(value, F.lit(WORD)).cast("bigint"), "_words": joined})
+    words = words.withColumn("_words", F.when(_gate(F.col("_words")), F.col("_words")))
     base = F.flatten(F.array(*[_stated(F.col("_words"), phrase, label) for phrase, label in BASE.items()]))
     looked = words.withColumns(
         {

@@ -1,4 +1,5 @@
 import re
+from re import _parser as parser
 
 import pytest
 
@@ -78,3 +79,32 @@ def test_clashing_columns_and_empty_table(spark, columns):
     one = spark.createDataFrame([(1, "under the mit license", "x", 3, "y", 7)], columns)
     row = licenses.scan(one).first()
     assert row.base[0].label == "mit" and row.n_words == 4
+
+
+def minimal(pattern, turn):
+    """A text that a rule needs nothing but to match; ``turn`` chooses among alternatives."""
+
+    def of(parts):
+        out = ""
+        for kind, value in parts:
+            if kind is parser.LITERAL:
+                out += chr(value)
+            elif kind is parser.IN:
+                out += chr(value[turn % len(value)][1]) if value[0][0] is parser.LITERAL else chr(value[0][1][0])
+            elif kind is parser.BRANCH:
+                out += of(value[1][turn % len(value[1])])
+            elif kind is parser.SUBPATTERN:
+                out += of(value[3])
+            elif kind is parser.MAX_REPEAT:
+                out += of(value[2]) * value[0]
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_every_rule_on_a_text_of_its_own(spark):
+    texts = sorted({minimal(rule[3], turn) for rule in licenses.RULES for turn in range(6)})
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    for row in licenses.scan(rows).collect():
+        found = sorted((d.id, d.label, d.priority, d.weight, d.start, d.stop) for d in row.found or [])
+        assert found and found == brute(texts[row.doc_id])[2], texts[row.doc_id]
