@@ -101,10 +101,11 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every user turn as a call that refers to the user turn before it, every assistant turn as its result."""
 
     def name(turn: str) -> Column:
-        return F.concat_ws(":", "conv_id", F.expr(turn))
+        # Null if a part is: such turns link with nothing.
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.expr(turn).cast("string"))
 
     opening = F.col("turn") <= 1
-    after = F.when(~opening, F.map_from_arrays(F.array(F.lit("$ref")), F.array(name("turn - 2"))))
+    after = F.when(~opening & F.col("conv_id").isNotNull(), F.map_from_arrays(F.array(F.lit("$ref")), F.array(name("turn - 2"))))
     arguments = F.struct(F.size(F.split("text", " ")).alias("words"), F.col("text"), after.alias("after"))
     calls = conversations.filter("role = 'user'").select(
         name("turn").alias("call_id"), "conv_id", F.col("turn").alias("position"),
@@ -117,9 +118,16 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    calls, results = conversation_calls(table(spark, folder, "conversations"))
+    """A row for every turn that is no answer, which its call's row holds; turns of other roles have status ``other``."""
+    conversations = table(spark, folder, "conversations")
+    calls, results = conversation_calls(conversations)
     schemas = spark.createDataFrame(SCHEMAS, "tool string, field string, type string, required boolean")
-    linked = tool_calls.link(calls, results, schemas)
+    linked = tool_calls.link_all(calls, results, schemas)
+    spoken = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    others = conversations.filter(~spoken).select(
+        "conv_id", F.col("turn").alias("position"), F.lit("other").alias("status"), F.to_json(F.struct("role", "text")).alias("json")
+    )
+    linked = linked.unionByName(others, True)
     return linked.withColumn("level", F.col("level").cast("bigint")).withColumn("problems", F.array_join("problems", ","))
 
 

@@ -9,7 +9,7 @@ schemas ``(tool, field, type, required)`` and written with sorted keys.
 Everything is a DataFrame expression. Defined cases: a call without a result
 is ``unanswered``, a result without a call ``orphan``; of several results of a call the
 earliest counts (ties: the smaller content), of several calls of one
-identifier the earliest is kept (``duplicates`` names the others); references to
+identifier the earliest is kept (``link_all`` lists the others too); references to
 calls that do not exist count for no level; calls on a cycle,
 or behind one, have no level and status ``cyclic``; arguments that are
 null or no JSON object are ``malformed``, a tool without schema is ``unknown``;
@@ -151,26 +151,62 @@ def with_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return joined.select(*calls.columns, problems(F.col("arguments"), F.col("fields")).alias("problems"))
 
 
+def _further_levels(further: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``_row, level`` of calls that nothing can refer to: one more than what they refer to, null behind a cycle."""
+    needs = further.select("_row", F.explode(references(F.col("arguments"))).alias("call_id")).join(ordered, "call_id")
+    above = needs.groupBy("_row").agg(F.max("level").alias("top"), F.count(F.lit(1)).alias("all"), F.count("level").alias("known"))
+    level = F.when(F.col("all").isNull(), 0).when(F.col("all") == F.col("known"), F.col("top") + 1).cast("int")
+    return further.select("_row").join(above, "_row", "left").select("_row", level.alias("level"))
+
+
+def link_all(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """One row per call, and one per result that is not a call's answer; nothing is left out.
+
+    As ``link``, and besides: calls without an identifier are ``unanswered`` (or ``cyclic``), further calls of one
+    identifier ``duplicate``; results without an identifier and all further results of an identifier without
+    call are ``orphan``, further results of a call ``surplus``.
+    """
+    return _linked(calls, results, schemas).drop("_first")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call and per orphan result.
+    """One row per identifier: of the call that counts, or of the first orphan result; see ``link_all`` for all rows.
 
     ``conv_id, call_id, tool, position, result_position, level, status, problems, json``: in every
     conversation ``level, position`` is an order in which each call comes after those it refers to.
     """
-    rows = calls.select("call_id", "conv_id", "position", "tool", "arguments")
-    kept = settle(first_of(rows, "call_id", "position", "conv_id", "tool", "arguments"), "calls")
-    answers = first_of(results.select("call_id", "position", "content"), "call_id", "position", "content")
+    return _linked(calls, results, schemas).filter("_first").drop("_first")
+
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    numbered = F.monotonically_increasing_id().alias("_row")
+    rows = settle(calls.select("call_id", "conv_id", "position", "tool", "arguments", numbered), "calls")
+    kept = settle(first_of(rows, "call_id", "position", "conv_id", "tool", "arguments", "_row"), "calls")
+    given = settle(results.select("call_id", "position", "content", numbered), "results")
+    answers = settle(first_of(given, "call_id", "position", "content", "_row"), "answers")
+    ordered = settle(levels(kept), "levels")
+    # Rows that link with nothing: without an identifier, or not the first of theirs.
+    further = settle(rows.join(kept.select("_row"), "_row", "left_anti"), "further")
+    surplus = given.join(answers.select("_row"), "_row", "left_anti")
+    owned = kept.select("call_id", F.lit(True).alias("owned"))
     answers = answers.select("call_id", F.col("position").alias("result_position"), "content", F.lit(True).alias("answered"))
-    ordered = levels(kept)
-    joined = kept.join(ordered, "call_id").join(answers, "call_id", "full_outer")
-    checked = with_problems(joined, schemas)
-    is_call = F.col("arguments").isNotNull() | F.col("position").isNotNull() | F.col("tool").isNotNull() | F.col("conv_id").isNotNull()
+    first = kept.join(ordered, "call_id").drop("_row").withColumn("is_call", F.lit(True)).join(answers, "call_id", "full_outer")
+    is_call = F.col("is_call").isNotNull()
     status = (
         F.when(~is_call, F.lit("orphan"))
         .when(F.col("level").isNull(), F.lit("cyclic"))
         .when(F.col("answered").isNull(), F.lit("unanswered"))
         .otherwise(F.lit("linked"))
     )
+    names = ("conv_id", "call_id", "tool", "position", "arguments", "result_position", "content", "level", "is_call", "status", "_first")
+    first = first.withColumns({"status": status, "_first": F.lit(True)}).select(*names)
+    lone = F.when(F.col("call_id").isNotNull(), F.lit("duplicate")).when(F.col("level").isNull(), F.lit("cyclic")).otherwise(F.lit("unanswered"))
+    more = further.join(_further_levels(further, ordered), "_row")
+    more = more.withColumns({"is_call": F.lit(True), "status": lone, "_first": F.lit(False)})
+    left = surplus.join(owned, "call_id", "left").withColumnRenamed("position", "result_position")
+    left = left.withColumns({"status": F.when(F.col("owned"), F.lit("surplus")).otherwise(F.lit("orphan")), "_first": F.lit(False)})
+    every = first.unionByName(more.drop("_row"), True).unionByName(left.drop("_row", "owned"), True)
+    checked = with_problems(every, schemas)
     written = F.to_json(
         F.struct(
             F.to_json(F.try_parse_json("arguments")).alias("arguments"),
@@ -180,8 +216,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         )
     )
     return checked.select(
-        "conv_id", "call_id", "tool", "position", "result_position", "level", status.alias("status"),
-        F.when(is_call, F.col("problems")).alias("problems"), written.alias("json"),
+        "conv_id", "call_id", "tool", "position", "result_position", "level", "status",
+        F.when(is_call, F.col("problems")).alias("problems"), written.alias("json"), "_first",
     )
 
 

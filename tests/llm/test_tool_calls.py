@@ -1,7 +1,9 @@
 import json
 import random
+from collections import Counter
 
 from glyphmill.llm import tool_calls as T
+from glyphmill.llm.queries import op9_tool_calls
 
 SCHEMAS = [
     ("f", "x", "integer", True), ("f", "y", "string", False), ("f", "z", "number", False),
@@ -71,3 +73,26 @@ def test_canonical_json(spark):
         {"arguments": '{"a":1.5,"b":[1,{"a":null,"z":"é\\n"}],"x":2}', "id": "k", "result": 'say "hi"', "tool": "f"},
         ensure_ascii=False, separators=(",", ":"), sort_keys=True,
     )
+
+
+def test_no_row_vanishes(spark):
+    given = [call("a"), call("a", position=7), call("a", position=7), call("c", ["c"])]
+    given += [(None, 1, p, "f", '{"$ref": "a"}', 1) for p in (0, 0)] + [(None, 1, 5, "f", '{"$ref": "c"}', 1), (None, None, None, None, None, None)]
+    calls = spark.createDataFrame(given, "call_id string, conv_id bigint, position bigint, tool string, arguments string, level int")
+    answers = [("a", 5, "late"), ("a", 3, "x"), ("z", 1, "?"), ("z", 2, "?"), (None, 1, "n"), (None, 1, "n")]
+    results = spark.createDataFrame(answers, "call_id string, position bigint, content string")
+    schemas = spark.createDataFrame(SCHEMAS, "tool string, field string, type string, required boolean")
+    rows = sorted((r.call_id or "", r.status, -1 if r.level is None else r.level) for r in T.link_all(calls, results, schemas).collect())
+    assert rows == [
+        ("", "cyclic", -1), ("", "orphan", -1), ("", "orphan", -1), ("", "unanswered", 0), ("", "unanswered", 1), ("", "unanswered", 1),
+        ("a", "duplicate", 0), ("a", "duplicate", 0), ("a", "linked", 0), ("a", "surplus", -1), ("c", "cyclic", -1), ("z", "orphan", -1), ("z", "orphan", -1),
+    ]
+
+
+def test_turns_without_a_conversation_link_with_nothing(spark, tmp_path):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for c in (None, None, 1) for t in range(4)]
+    turns += [(1, None, "user", "x"), (1, 9, "system", "s"), (1, 8, None, "s")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = [(r.conv_id, r.status) for r in op9_tool_calls(spark, str(tmp_path)).collect()]
+    want = {(None, "unanswered"): 4, (None, "orphan"): 4, (1, "linked"): 2, (1, "unanswered"): 1, (1, "other"): 2}
+    assert Counter(rows) == want
