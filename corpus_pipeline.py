@@ -30,22 +30,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of linked documents, once.
+    """Keep of every group of linked documents one row, that with the smallest id (null comes last).
 
-    Empty texts are linked with nothing and all stay.
+    Rows are told apart by a number of their own, so equal or null ids decide nothing about other
+    rows. Empty texts are linked with nothing and all stay.
     """
-    classes = settle(overlap_join.classes(docs.select("doc_id", "text")), "classes")
-    # Rows without a text stay; so do rows without an id unless their group has one with an id.
-    copies = classes.filter("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct()
-    copies = bounded(copies, "copies", F.lit(8), 16 * 1024 * 1024)
-    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = classes.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = settle(repeated.filter("n > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    if repeated.isEmpty():
-        return kept
-    # Rows that repeat an id: one of those with equal texts stays.
-    again = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(again)
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = settle(overlap_join.classes(rows.select("_row", "text"), key="_row"), "classes")
+    linked = classes.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    # Of a group by itself nothing goes; the rows of the others are ranked by an aggregate, not gathered.
+    groups = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    linked = settle(linked.join(groups, "component_id"), "linked")
+    named = rows.select("_row", F.col("doc_id").isNull().alias("none"), "doc_id").join(linked, "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    copies = bounded(linked.select("_row").join(first, "_row", "left_anti"), "copies", F.lit(8), 16 * 1024 * 1024)
+    return rows.join(copies, "_row", "left_anti").drop("_row")
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

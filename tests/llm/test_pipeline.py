@@ -97,3 +97,21 @@ def test_nulls_repeats_and_empty_tables(spark):
             assert docs.columns == [f.split()[0] for f in schema.split(", ")]
         kept = P.mixed(spark, docs, SMALL).select("doc_id").collect()
         assert sorted(r.doc_id or -1 for r in kept) == ([-1, 1, 2] if data else [])
+
+
+def test_only_rows_that_are_copies_go(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+    def text(k):
+        return " ".join(f"w{k}x{j}" for j in range(40))
+
+    near = text(4) + " end"
+    texts = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, ""), (None, None)]
+    texts += [(7, text(1)), (7, text(5)), (None, text(4)), (None, near), (9, text(6)), (9, text(6)), (None, text(8)), (3, text(8))]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in texts], schema)
+    kept = [(r.doc_id, r.text) for r in P.near_copies(spark, docs, SMALL).collect()]
+    one_of = [r for r in kept if r in ((None, text(4)), (None, near))]
+    rest = sorted((r for r in kept if r not in one_of), key=str)
+    assert len(one_of) == 1
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (None, ""), (None, None), (7, text(5)), (9, text(6)), (3, text(8))]
+    assert rest == sorted(want, key=str)
