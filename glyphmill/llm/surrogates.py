@@ -44,7 +44,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 # What a text must have to hold any entity: one pass of a simple pattern.
-GATE = rf"[0-9@]|(?<![\p{{L}}\d]){TITLE}\.?\s\p{{Lu}}"
+GATE = rf"[0-9@]|AKIA|(?<![\p{{L}}\d]){TITLE}\.?\s\p{{Lu}}"
 KEY = "surrogates-1"
 
 # Syllables of surrogate names by script, and endings by gender.

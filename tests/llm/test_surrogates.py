@@ -93,3 +93,9 @@ def test_clashing_columns_and_empty_table(spark, schema):
     out = surrogates.replace_entities(rows)
     assert out.columns == ["doc_id", "text", "mention", "type", "n_entities"]
     assert sorted(r.n_entities for r in out.collect()) == [0, 1]
+
+
+def test_a_key_of_letters_only_is_replaced(spark):
+    key = "AKIA" + "QWERTZUIOPASDFGH"
+    row = surrogates.replace_entities(spark.createDataFrame([(1, f"the key {key} alone")], "doc_id bigint, text string")).first()
+    assert row.n_entities == 1 and key not in row.text and row.text.startswith("the key AKIA")
