@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, licenses, mixing, neighbours, overlap_join, suffix_dedup, surrogates, tool_calls, toxicity, warc
+from glyphmill.llm import decontaminate, hard_negatives, licenses, mixing, neighbours, overlap_join
+from glyphmill.llm import suffix_dedup, surrogates, tool_calls, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -131,9 +132,18 @@ def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     return linked.withColumn("level", F.col("level").cast("bigint")).withColumn("problems", F.array_join("problems", ","))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_licenses, op2_pii, op3_warc, op4_decontamination, op5_jaccard_join, op6_neighbours, op7_toxicity, op8_mixing, op9_tool_calls, op10_suffix_dedup)
-}
+    query.__name__: query
+    for query in (
+        op1_licenses, op2_pii, op3_warc, op4_decontamination, op5_jaccard_join, op6_neighbours, op7_toxicity, op8_mixing,
+        op9_tool_calls, op10_suffix_dedup, op12_hard_negatives,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op3_warc": """
@@ -199,4 +209,26 @@ ORACLES: dict[str, str] = {
           sha256(unhex(coalesce(k || substr(h.h, 2 * last_ + 1), h.h))) kept_sha256
         from h left join kept using (doc_id)
     """,
+    "op12_hard_negatives": """
+        with e as (
+          select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+            list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v
+          from embeddings
+          where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+          select a.vec_id anchor_id, b.vec_id, a.label = b.label same,
+            list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint score
+          from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+        ), positives as (
+          select * from scored where same
+          qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        )
+        select p.anchor_id, p.vec_id positive_id,
+          row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)::int rank,
+          n.vec_id negative_id, p.score positive_score, n.score negative_score
+        from positives p join scored n on p.anchor_id = n.anchor_id and not n.same
+          and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+        qualify row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) <= 10
+    """,
 }
