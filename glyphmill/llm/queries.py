@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, hard_negatives, licenses, mixing, neighbours, overlap_join
+from glyphmill.llm import decontaminate, hard_negatives, licenses, mixing, neighbours, overlap_join, prefix_trie
 from glyphmill.llm import suffix_dedup, surrogates, tool_calls, toxicity, warc
 
 
@@ -137,11 +137,15 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_licenses, op2_pii, op3_warc, op4_decontamination, op5_jaccard_join, op6_neighbours, op7_toxicity, op8_mixing,
-        op9_tool_calls, op10_suffix_dedup, op12_hard_negatives,
+        op9_tool_calls, op10_suffix_dedup, op12_hard_negatives, op13_prefix_trie,
     )
 }
 
@@ -231,4 +235,38 @@ ORACLES: dict[str, str] = {
           and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
         qualify row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) <= 10
     """,
+    "op13_prefix_trie": """
+        with t as (
+          select conv_id, turn, coalesce(text, '') x, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) e
+          from conversations where conv_id is not null
+        ), own as (
+          select conv_id, list(e order by turn nulls first, e) es, list(length(x) order by turn nulls first, e) ns from t group by 1
+        ), hashed as (
+          select *, xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint),
+            lambda r, byte: list_reduce(range(8), lambda s, k: case when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end,
+              xor(r, byte)), 4294967295::bigint), 4294967295::bigint) % 6 h
+          from own
+        ), rebuilt as (
+          select o.conv_id, list_concat(coalesce(b.es[1:o.h], []), o.es[o.h + 1:]) es,
+            list_concat(coalesce(b.ns[1:o.h], []), o.ns[o.h + 1:]) ns
+          from hashed o left join own b on b.conv_id = o.conv_id - o.conv_id % 100
+        ), prefixes as (
+          select conv_id, d, es[1:d] es, ns[d] n, len(es) = d ends from (select *, unnest(range(len(es) + 1)) d from rebuilt)
+        ), found as (
+          select es, d depth, min(conv_id) conv_id, count(*) n_convs, coalesce(any_value(n), 0) tokens,
+            coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '') ids
+          from prefixes group by 1, 2
+        ), childless as (
+          select f.*, not exists (select 1 from found c where c.depth = f.depth + 1 and c.es[1:f.depth] = f.es) leaf from found f
+        ), sums as (
+          select es[1:d] es, sum(leaf::int)::bigint n_leaves, sum((n_convs - 1) * tokens)::bigint saved_tokens
+          from (select *, unnest(range(depth + 1)) d from childless) group by 1
+        ), kids as (
+          select es[1:depth - 1] es, count(*) n_children from found where depth > 0 group by 1
+        )
+        select f.conv_id, f.depth, p.conv_id parent_conv_id, f.n_convs, coalesce(n_children, 0) n_children, n_leaves, saved_tokens,
+          sha256(f.ids) ends_sha256
+        from found f join sums s on s.es = f.es left join kids k on k.es = f.es
+        left join found p on p.depth = f.depth - 1 and p.es = f.es[1:f.depth - 1]
+    """,
 }
