@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, hard_negatives, licenses, mixing, neighbours, overlap_join, prefix_trie
+from glyphmill.llm import decontaminate, hard_negatives, licenses, mixing, neighbours, overlap_join, phrases, prefix_trie
 from glyphmill.llm import suffix_dedup, surrogates, tool_calls, toxicity, warc
 
 
@@ -132,6 +132,10 @@ def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     return linked.withColumn("level", F.col("level").cast("bigint")).withColumn("problems", F.array_join("problems", ","))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.deduplicate(table(spark, folder, "documents")).drop("kept")
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -145,7 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_licenses, op2_pii, op3_warc, op4_decontamination, op5_jaccard_join, op6_neighbours, op7_toxicity, op8_mixing,
-        op9_tool_calls, op10_suffix_dedup, op12_hard_negatives, op13_prefix_trie,
+        op9_tool_calls, op10_suffix_dedup, op11_phrases, op12_hard_negatives, op13_prefix_trie,
     )
 }
 
@@ -213,6 +217,25 @@ ORACLES: dict[str, str] = {
           sha256(unhex(coalesce(k || substr(h.h, 2 * last_ + 1), h.h))) kept_sha256
         from h left join kept using (doc_id)
     """,
+    "op11_phrases": """
+        with d as (
+          select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') w from documents
+        ), windows as (
+          select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)
+        ), starts as (
+          select doc_id, i from windows where h in (select h from windows group by 1 having count(*) > 1)
+        ), covered as (
+          select doc_id, list_distinct(flatten(list(range(i, i + 35)))) c from starts group by 1
+        ), gone as (
+          select doc_id, unnest(c) i from covered
+        ), kept as (
+          select x.doc_id, list(x.word order by x.i) k
+          from (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) i from d) x anti join gone g on g.doc_id = x.doc_id and g.i = x.i
+          group by 1
+        )
+        select d.doc_id, len(w) n_words, len(w) - coalesce(len(k), 0) n_removed, sha256(coalesce(array_to_string(k, ' '), '')) kept_sha256
+        from d left join kept using (doc_id)
+    """,
     "op12_hard_negatives": """
         with e as (
           select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
