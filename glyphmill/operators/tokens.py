@@ -73,7 +73,8 @@ def _piece_ids(
     rare = scanned.withColumn("word_key", word_key(F.col("word"))).join(
         F.broadcast(near.select("word_key")), "word_key", "left_anti"
     )
-    found = rare.join(far, "word_key", "left_outer").withColumn(
+    # What is left may be larger than the limit, so Spark must not broadcast it by an estimate of its own.
+    found = rare.join(far.hint("merge"), "word_key", "left_outer").withColumn(
         "ids", F.coalesce("ids", F.raise_error(F.lit("word missing from the lexicon")).cast("array<int>"))
     )
     pairs = _pair_list(looked_up, keys, "pairs").join(_pair_list(found, keys, "rare_pairs"), list(keys), "left_outer")

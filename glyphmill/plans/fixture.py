@@ -74,3 +74,12 @@ class MixingEncoder:
         weights = (31 * ids + 17 * d + 7 * ids * d) % 101 - 50
         summed = (weights * attention_mask[:, :, None]).sum(axis=1)
         return summed[:, None, :].astype(np.float32)
+
+
+class PickyEncoder(MixingEncoder):
+    """Fails on every chunk that holds a text whose second id leaves 3 when divided by 7."""
+
+    def __call__(self, input_ids, token_type_ids, attention_mask):
+        if (input_ids[:, 1] % 7 == 3).any():
+            raise ValueError("a text the model refuses")
+        return super().__call__(input_ids, token_type_ids, attention_mask)

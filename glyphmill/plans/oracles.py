@@ -309,6 +309,14 @@ ORACLES: dict[str, str] = {
     "embed": _tokenised(
         f"select text_id, pos, {_six('value::double')} as value from embedded", _encoded(), EMBEDDED
     ),
+    "embed_quarantine": _tokenised(
+        f"""
+        select e.text_id, pos, {_six('value::double')} as value, null::varchar as error
+        from embedded e join encoded c using (text_id) where c.input_ids[2] % 7 <> 3
+        union all select text_id, null, null, 'a text the model refuses' from encoded where input_ids[2] % 7 = 3""",
+        _encoded(),
+        EMBEDDED,
+    ),
     "embed_conversations": _tokenised(
         f"select conv_id, turn, pos, {_six('value::double')} as value from embedded join texts using (text_id)",
         _encoded(),

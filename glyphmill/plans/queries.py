@@ -15,7 +15,7 @@ from glyphmill.operators import batches, evaluate, lexicon, profile, quality, to
 from glyphmill.operators.embed import embed as embed_texts
 from glyphmill.operators.embed import encode as encode_texts
 from glyphmill.operators.words import word_table
-from glyphmill.plans.fixture import MixingEncoder, table, texts, vocabulary
+from glyphmill.plans.fixture import MixingEncoder, PickyEncoder, table, texts, vocabulary
 from glyphmill.session import settle, shared_folder, spread
 from glyphmill.sinks import files
 from glyphmill.sources import texts as text_sources
@@ -230,6 +230,13 @@ def embed_checked(spark: SparkSession, folder: str) -> DataFrame:
     return exploded(good, "text_id", F.col("embedding").cast("array<double>"))
 
 
+def embed_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """A model that fails on some texts: these alone have no vector, and tell why."""
+    found = embed_texts(texts(spark, folder), vocabulary(spark, folder), PickyEncoder(), report_errors=True)
+    rows = found.select("text_id", "error", F.posexplode_outer(F.col("embedding").cast("array<double>")).alias("pos", "value"))
+    return rows.select("text_id", F.col("pos").cast("bigint").alias("pos"), rounded("value").alias("value"), "error")
+
+
 # --- vectors --------------------------------------------------------------
 
 
@@ -417,7 +424,7 @@ QUERIES: dict[str, Query] = {
         "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_conversations",
         "token_table", "token_head", "encode", "attention_mask", "token_types",
         "batch_ids", "batch_sizes", "flat_batch", "detokenize",
-        "embed", "embed_checked", "embed_conversations", "run_counts",
+        "embed", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",
         "l2_normalize", "bad_vectors", "bad_lines", "parse_embeddings", "format_embeddings", "text_sink",
         "cardinality", "unpaired", "embedding_profile", "table_profile", "cosine",
         "few_shot", "nearest_centroid", "linear_probe", "linear_probe_facts", "label_scores",

@@ -102,6 +102,44 @@ def test_errors(spark, vocabulary_of, table_of, by_value):
     assert told[0].error is None and len(told[2].embedding) == 16
 
 
+class Refusing(MixingEncoder):
+    """Counts its calls and fails on any chunk with one of the ids."""
+
+    def __init__(self, ids):
+        self.ids, self.calls = ids, 0
+
+    def __call__(self, input_ids, token_type_ids, attention_mask):
+        self.calls += 1
+        if np.isin(input_ids, self.ids).any():
+            raise ValueError("refused")
+        return super().__call__(input_ids, token_type_ids, attention_mask)
+
+
+@pytest.mark.parametrize("bad", [[], [17], [0, 63], [20, 21, 22], list(range(64))])
+def test_a_bad_text_costs_its_own_vector_only(bad):
+    from glyphmill.operators.embed import _attempt
+
+    encoder = Refusing([1000 + k for k in bad])
+    encoder.load()
+    ids = pa.array([[2, 1000 + k, 3] for k in range(64)], pa.list_(pa.int32()))
+    rows = pa.concat_arrays(list(_attempt(encoder, ids, 0, 8))).to_pylist()
+    assert [k for k, r in enumerate(rows) if r["embedding"] is None] == bad
+    assert all((r["error"] == "refused") == (k in bad) for k, r in enumerate(rows))
+    assert encoder.calls <= 1 + 12 * len(bad)
+
+
+def test_a_model_that_loses_rows_is_an_error(spark, vocabulary_of, table_of, by_value):
+    class Losing(MixingEncoder):
+        def __call__(self, *given):
+            return super().__call__(*given)[:1]
+
+    texts, own = table_of(["ab", "d", "abc"]).coalesce(1), vocabulary_of(TOKENS)
+    with pytest.raises(Exception, match="1 states for"):
+        embed(texts, own, Losing()).collect()
+    # Alone every text has its state.
+    assert embed(texts, own, Losing(), report_errors=True).filter("error is null").count() == 3
+
+
 def test_onnx(spark, vocabulary_of, tmp_path):
     (tmp_path / "model.onnx").write_bytes(model())
     texts, own = from_strings(spark, ["ab d", "", "abc"]), vocabulary_of(TOKENS)

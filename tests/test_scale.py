@@ -34,6 +34,7 @@ def test_rare_words_only_are_shuffled(spark, small):
     assert 0 < near.count() < lexicon.words and near.count() + far.count() == lexicon.words
     beyond = tokenize(texts, own, lexicon, limit=300_000)
     assert plan(beyond).count("REPARTITION_BY_COL") == 1
+    assert "SortMergeJoin [word_key" in plan(beyond)
     assert sorted(beyond.collect()) == sorted(tokenize(texts, own, lexicon).collect())
 
 
