@@ -1,7 +1,12 @@
-"""Text functions: every one is a Column expression, none leaves the JVM."""
+"""Text functions: every one is a Column expression, none leaves the JVM.
+
+``words_of`` alone works on a string in memory.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +16,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 PUNCTUATION = r""".,!?;:()\[\]{}"'"""
 WHITESPACE = r" \t\n\x0B\f\r"
 TRIMMED = " \t\n\r"
+WORD = f"[{PUNCTUATION}]|[^{PUNCTUATION}{WHITESPACE}]+"
 PREVIEW_BYTES = 50
 
 
@@ -50,8 +56,12 @@ def words(text: Column) -> Column:
     of characters that are neither punctuation nor whitespace, so the words can
     be matched directly and the spaced-out text never has to be built.
     """
-    word = f"[{PUNCTUATION}]|[^{PUNCTUATION}{WHITESPACE}]+"
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(word), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def words_of(text: str | None) -> list[str]:
+    """The same words of a string in memory."""
+    return re.findall(WORD, (text or "").translate(str.maketrans(UPPER, LOWER)))
 
 
 def preview(text: Column, width: int = PREVIEW_BYTES) -> Column:

@@ -3,24 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphmill.functions.ids import MAX_LENGTH
-from glyphmill.operators.embed import BATCH_SIZE, Encoder, OnnxEncoder, embed
-from glyphmill.operators.lexicon import Lexicon, build_lexicon
+from glyphmill.functions.text import words_of
+from glyphmill.operators.embed import BATCH_SIZE, Encoder, OnnxEncoder, embed, embedding
+from glyphmill.operators.lexicon import Lexicon
 from glyphmill.operators.tokens import KEYS
+from glyphmill.operators.word_cache import WordCache
+from glyphmill.session import ship
 from glyphmill.sources.model import send_model, shared_vocabulary
 from glyphmill.sources.texts import from_strings
 from glyphmill.sources.vocabulary import Vocabulary
 
+FEW = 4096  # Strings of a call that count as a handful.
+
 
 @dataclass(frozen=True)
 class TextModel:
     vocabulary: Vocabulary
     encoder: Encoder
     batch_size: int = BATCH_SIZE
+    words: WordCache = field(init=False, compare=False, repr=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "words", WordCache(self.vocabulary))
 
     @classmethod
     def from_directory(cls, spark: SparkSession, directory: str | None = None) -> TextModel:
@@ -37,11 +49,27 @@ class TextModel:
     def encode(self, sentences: str | list[str], batch_size: int | None = None, **ignored) -> list[list[float]]:
         """The vectors of strings in memory, in their order; a bare string is a list of one.
 
-        For a handful of strings: they start and end on the driver. Tables go
-        through ``embed``.
+        For a handful of strings: they start and end on the driver, and words met before
+        are not segmented again, so such a call is one job of one stage. With more than ``FEW``
+        strings, or more new words than are remembered, they go the way of tables, through ``embed``.
         """
         spark = self.vocabulary.entries.sparkSession
-        texts = from_strings(spark, sentences)
-        lexicon = build_lexicon(texts, self.vocabulary, max_words=MAX_LENGTH - 1, stored=False)
-        rows = self.embed(texts, lexicon=lexicon, batch_size=batch_size or self.batch_size)
-        return [row.embedding for row in rows.orderBy("text_id").collect()]
+        listed = [sentences] if isinstance(sentences, str) else list(sentences)
+        size = batch_size or self.batch_size
+        if not listed:
+            return []
+        split = [words_of(text)[: MAX_LENGTH - 1] for text in listed[: FEW + 1]]
+        distinct = set(chain.from_iterable(split))
+        if len(listed) > FEW or len(distinct) > self.words.words:
+            rows = self.embed(from_strings(spark, listed), batch_size=size)
+            return [row.embedding for row in rows.orderBy("text_id").collect()]
+        ids, special = self.words.ids_of(distinct), self.vocabulary.special
+        cut = []
+        for words in split:
+            tokens = [special.cls, *chain.from_iterable(ids[word] for word in words), special.sep]
+            cut.append(tokens if len(tokens) <= MAX_LENGTH else [*tokens[: MAX_LENGTH - 1], special.sep])
+        ship(spark)
+        columns = {"text_id": pa.array(range(len(cut)), pa.int64()), "token_ids": pa.array(cut, pa.list_(pa.int32()))}
+        table = spark.createDataFrame(pa.table(columns)).coalesce(min(-(-len(cut) // size), spark.sparkContext.defaultParallelism))
+        vectors = embedding(F.col("token_ids"), self.encoder, special.pad, size).alias("embedding")
+        return [row.embedding for row in sorted(table.select("text_id", vectors).collect())]
