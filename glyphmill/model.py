@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.ids import MAX_LENGTH
+from glyphmill.functions.pieces import closed
 from glyphmill.functions.text import words_of
 from glyphmill.operators.embed import BATCH_SIZE, Encoder, OnnxEncoder, embed, embedding
 from glyphmill.operators.lexicon import Lexicon
+from glyphmill.operators.table_function import register_texts
 from glyphmill.operators.tokens import KEYS
 from glyphmill.operators.word_cache import WordCache
 from glyphmill.session import ship
@@ -46,6 +48,11 @@ class TextModel:
         options.setdefault("batch_size", self.batch_size)
         return embed(texts, self.vocabulary, self.encoder, lexicon, keys, **options)
 
+    def register(self, spark: SparkSession, name: str = "embed_texts", **options) -> None:
+        """Make the model a table function of SQL: ``select * from embed_texts(table(select id, text from corpus))``."""
+        options.setdefault("batch_size", self.batch_size)
+        register_texts(spark, name, self.vocabulary, self.encoder, **options)
+
     def encode(self, sentences: str | list[str], batch_size: int | None = None, **ignored) -> list[list[float]]:
         """The vectors of strings in memory, in their order; a bare string is a list of one.
 
@@ -64,10 +71,7 @@ class TextModel:
             rows = self.embed(from_strings(spark, listed), batch_size=size)
             return [row.embedding for row in rows.orderBy("text_id").collect()]
         ids, special = self.words.ids_of(distinct), self.vocabulary.special
-        cut = []
-        for words in split:
-            tokens = [special.cls, *chain.from_iterable(ids[word] for word in words), special.sep]
-            cut.append(tokens if len(tokens) <= MAX_LENGTH else [*tokens[: MAX_LENGTH - 1], special.sep])
+        cut = [closed(chain.from_iterable(ids[word] for word in words), special) for words in split]
         ship(spark)
         columns = {"text_id": pa.array(range(len(cut)), pa.int64()), "token_ids": pa.array(cut, pa.list_(pa.int32()))}
         table = spark.createDataFrame(pa.table(columns)).coalesce(min(-(-len(cut) // size), spark.sparkContext.defaultParallelism))

@@ -411,4 +411,5 @@ ORACLES: dict[str, str] = {
                round(avg(f1_weighted), 6) as f1_weighted, count(*) as experiments from scores""",
     ),
 }
-ORACLES["embed_checked"] = ORACLES["embed"]
+for _same in ("embed_checked", "embed_sql"):
+    ORACLES[_same] = ORACLES["embed"]

@@ -14,6 +14,7 @@ from glyphmill.functions import vectors as V
 from glyphmill.operators import batches, evaluate, lexicon, profile, quality, tokens
 from glyphmill.operators.embed import embed as embed_texts
 from glyphmill.operators.embed import encode as encode_texts
+from glyphmill.operators.table_function import register_texts
 from glyphmill.operators.words import word_table
 from glyphmill.plans.fixture import MixingEncoder, PickyEncoder, table, texts, vocabulary
 from glyphmill.session import settle, shared_folder, spread
@@ -230,6 +231,15 @@ def embed_checked(spark: SparkSession, folder: str) -> DataFrame:
     return exploded(good, "text_id", F.col("embedding").cast("array<double>"))
 
 
+def embed_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors of a table of texts asked for in SQL alone."""
+    register_texts(spark, "embed_texts", vocabulary(spark, folder), MixingEncoder())
+    source = f"documents_{uuid.uuid4().hex}"
+    spread(table(spark, folder, "documents"), "doc_id").createOrReplaceTempView(source)
+    found = spark.sql(f"select * from embed_texts(table(select doc_id as text_id, text as body from {source}), text => 'body')")
+    return exploded(found, "text_id", F.col("embedding").cast("array<double>"))
+
+
 def embed_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """A model that fails on some texts: these alone have no vector, and tell why."""
     found = embed_texts(texts(spark, folder), vocabulary(spark, folder), PickyEncoder(), report_errors=True)
@@ -424,7 +434,7 @@ QUERIES: dict[str, Query] = {
         "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_conversations",
         "token_table", "token_head", "encode", "attention_mask", "token_types",
         "batch_ids", "batch_sizes", "flat_batch", "detokenize",
-        "embed", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",
+        "embed", "embed_sql", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",
         "l2_normalize", "bad_vectors", "bad_lines", "parse_embeddings", "format_embeddings", "text_sink",
         "cardinality", "unpaired", "embedding_profile", "table_profile", "cosine",
         "few_shot", "nearest_centroid", "linear_probe", "linear_probe_facts", "label_scores",
