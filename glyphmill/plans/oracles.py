@@ -243,7 +243,18 @@ ORACLES: dict[str, str] = {
     "split_nul": _split("chr(0)"),
     "split_custom": _split("'|||'"),
     "split_keep_empty": _split("'. '", keep_empty=True),
-    "delimited_file": "select text from documents where text <> ''",
+    "delimited_file": """
+        select coalesce(lang, 'none') as file, row_number() over (partition by lang order by doc_id) - 1 as position, text
+        from documents where text <> ''""",
+    "file_to_vectors": _tokenised(
+        """
+        select d.file, row_number() over (partition by d.file order by text_id) - 1 as position,
+               row_number() over (order by d.file, text_id) - 1 as line, l.vector, 'ok' as status
+        from (select doc_id as text_id, coalesce(lang, 'none') as file from documents where text <> '') d
+        join (select text_id, string_agg(printf('%g', value::double), ' ' order by pos) as vector from embedded group by 1) l using (text_id)""",
+        _encoded(),
+        EMBEDDED,
+    ),
     "vocab_reverse": _chain(VOCABULARY_FILES, last="select doc_id, token_id, token from entries"),
     "vocab_forward": _chain(
         VOCABULARY_FILES, last="select doc_id, token, max(token_id) as token_id from entries group by 1, 2"
@@ -360,7 +371,8 @@ ORACLES: dict[str, str] = {
           select vec_id, list_transform(embedding::double[], lambda x: x * pow(10.0, label * 2 - 8)) as v from embeddings)
         select vec_id, {_g('v')} as line from stretched""",
     "text_sink": f"""
-        select {_g('embedding::double[]')} as line, 'ok' as status, len(embedding) as dimension from embeddings""",
+        select row_number() over (order by vec_id) - 1 as place, {_g('embedding::double[]')} as line, 'ok' as status,
+               len(embedding) as dimension from embeddings""",
     "cardinality": _chain(
         LINE_SIDES,
         last="""

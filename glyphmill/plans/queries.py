@@ -85,10 +85,28 @@ def split_keep_empty(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder, ". ", drop_empty=False)
 
 
-def delimited_file(spark: SparkSession, folder: str) -> DataFrame:
+def _delimited(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each language as one delimited file, in order of their ids, read back: ``(file, position, text)``."""
     path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
-    texts(spark, folder).select("text").write.option("lineSep", text_sources.NUL).text(path)
-    return text_sources.read_delimited(spark, path).select("text")
+    named = table(spark, folder, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", "text")
+    ordered = named.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text")
+    ordered.write.partitionBy("lang").option("lineSep", text_sources.NUL).text(path)
+    return text_sources.read_delimited(spark, path).withColumn("file", F.regexp_extract("file", "lang=([^/]+)", 1))
+
+
+def delimited_file(spark: SparkSession, folder: str) -> DataFrame:
+    return _delimited(spark, folder)
+
+
+def file_to_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Delimited files to lines of numbers, in the order of the files: the line of a vector is the place of its text."""
+    listed = _delimited(spark, folder)
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    own = embed_texts(listed, vocabulary(spark, folder), MixingEncoder(), keys=("file", "position"))
+    files.write_text(own, path, "file", "position")
+    lines = files.read_text(spark, path).select("line", F.col("value").alias("vector"), "status")
+    paired = text_sources.with_line(listed.select("file", "position")).join(lines, "line", "left")
+    return paired.select("file", "position", "line", "vector", "status")
 
 
 def _vocabulary_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -315,7 +333,7 @@ def text_sink(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
     files.write_text(_vectors(spark, folder), path, "vec_id")
     return files.read_text(spark, path).select(
-        F.col("value").alias("line"), "status", F.size("embedding").cast("bigint").alias("dimension")
+        F.col("line").alias("place"), F.col("value").alias("line"), "status", F.size("embedding").cast("bigint").alias("dimension")
     )
 
 
@@ -429,7 +447,7 @@ QUERIES: dict[str, Query] = {
     query: globals()[query]
     for query in (
         "ascii_lower", "isolate_punct", "collapse_ws", "trim_ends", "preprocess", "words", "preview",
-        "split_nul", "split_custom", "split_keep_empty", "delimited_file",
+        "split_nul", "split_custom", "split_keep_empty", "delimited_file", "file_to_vectors",
         "vocab_forward", "vocab_reverse", "special_ids", "learnt_vocabulary",
         "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_conversations",
         "token_table", "token_head", "encode", "attention_mask", "token_types",

@@ -11,13 +11,14 @@ from glyphmill.session import settle
 from glyphmill.sources.texts import numbered_lines
 
 
-def write_text(vectors: DataFrame, path: str, key: str = "text_id", column: str = "embedding") -> None:
+def write_text(vectors: DataFrame, path: str, *keys: str, column: str = "embedding") -> None:
     """A vector per line, in key order over the files: values in six digits, one space between.
 
     Sorting looks at its input twice, so the lines are settled first: the model behind them runs once.
     """
-    lines = settle(vectors.select(key, format_vector(F.col(column)).alias("value")), "lines")
-    lines.orderBy(key).select("value").write.text(path)
+    keys = keys or ("text_id",)
+    lines = settle(vectors.select(*keys, format_vector(F.col(column)).alias("value")), "lines")
+    lines.orderBy(*keys).select("value").write.text(path)
 
 
 def write_parquet(vectors: DataFrame, path: str, *partitions: str) -> None:

@@ -7,10 +7,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators.words import with_ordinal
 from glyphmill.session import bounded, settle
 
 NUL = "\0"
@@ -54,39 +53,84 @@ def read_whole(spark: SparkSession, path: str, delimiter: str = "") -> DataFrame
     return split_blobs(files, "file", "blob", delimiter)
 
 
-def _pieces(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """``(file, block, row, text)``: ``block, row`` is the order of the pieces of a file."""
-    read = spark.read.text(path, lineSep=separator) if separator else spark.read.text(path)
-    return read.select(
+def _read(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """``(file, block, size, text)``: the pieces of files between separators."""
+    return spark.read.text(path, lineSep=separator).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("text"),
     )
 
 
+def _numbered(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces settled with a ``row`` that counts on inside each block, and the blocks: ``file, block, first, rows``.
+
+    A task reads a block from its start to its end, so the rows are in order as they come. Nothing is
+    sorted: the place of a piece is the number of pieces in earlier blocks, one row each, and its place in its own.
+    """
+    settled = settle(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    blocks = settled.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows"))
+    return settled, settle(blocks, "blocks")
+
+
+def _earlier(*partition: str) -> Column:
+    """The pieces in the blocks before a block."""
+    window = Window.partitionBy(*partition).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("rows").over(window), F.lit(0))
+
+
+def _placed(pieces: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
+    """Pieces with their place; ``blocks`` has ``before``, what comes before a block."""
+    near = bounded(blocks, "blocks", F.octet_length("file") + 64)
+    return pieces.join(near, ["file", "block"]).withColumn(name, F.col("before") + F.col("row") - F.col("first"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line, value)``: the lines of text files in order of files and lines, counted from 0."""
-    lines = settle(_pieces(spark, path), "lines")
-    numbered = with_ordinal(lines, "file", "block", "row", name="line")
-    return numbered.select("line", F.col("text").alias("value"))
+    pieces, blocks = _numbered(_read(spark, path, "\n").drop("size"))
+    placed = _placed(pieces, blocks.withColumn("before", _earlier()), "line")
+    return placed.select("line", F.col("text").alias("value"))
+
+
+def _open_ends(spark: SparkSession, path: str, separator: str, ends: DataFrame) -> DataFrame:
+    """The files among ``ends`` that do not close with a separator: their pieces and separators add up to more than their size."""
+    width = len(separator.encode())
+    sizes = _read(spark, path, separator).join(ends.select("file"), "file").groupBy("file").agg(
+        F.sum(F.octet_length("text").cast("bigint") + width).alias("bytes"), F.max("size").alias("size")
+    )
+    return sizes.filter(F.col("bytes") > F.col("size")).select("file")
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "") -> DataFrame:
     """Delimited files of any size as ``(file, position, text)``, split between tasks at the delimiter.
 
     The texts are those of ``read_whole``: one newline at the very end of a file goes, empty
-    texts are left out, and positions count the texts of each file from 0.
+    texts are left out, and positions count the texts of each file from 0. Files are not compressed ones. Nothing
+    is sorted or shuffled but a row per block.
     """
-    pieces = settle(_pieces(spark, path, delimiter_of(delimiter)), "pieces")
-    order = F.struct("block", "row")
-    lasts = pieces.groupBy("file").agg(F.max(order).alias("last"))
-    marked = pieces.join(bounded(lasts, "lasts", F.octet_length("file") + 32), "file")
-    text = F.when(order == F.col("last"), drop_final_newline(F.col("text"))).otherwise(F.col("text"))
-    kept = marked.select("file", "block", "row", text.alias("text")).filter(F.col("text") != "")
-    numbered = with_ordinal(kept, "file", "block", "row")
-    firsts = bounded(numbered.groupBy("file").agg(F.min("ordinal").alias("first")), "firsts", F.octet_length("file") + 24)
-    return numbered.join(firsts, "file").select("file", (F.col("ordinal") - F.col("first")).alias("position"), "text")
+    separator = delimiter_of(delimiter)
+    pieces, blocks = _numbered(_read(spark, path, separator).drop("size").filter(F.col("text") != ""))
+    blocks = blocks.withColumn("before", _earlier("file"))
+    # A newline that ends a file is part of its last piece, unless a separator follows.
+    lasts = blocks.groupBy("file").agg(F.max(F.struct("block", (F.col("first") + F.col("rows") - 1).alias("row"))).alias("last"))
+    lasts = bounded(lasts.select("file", "last.block", "last.row"), "lasts", F.octet_length("file") + 48)
+    ends = pieces.join(lasts, ["file", "block", "row"]).filter(F.col("text").endswith("\n")).select("file", "block", "row")
+    ends = bounded(ends, "ends", F.octet_length("file") + 48)
+    closed = pieces.sparkSession.createDataFrame([], "file string") if ends.isEmpty() else _open_ends(spark, path, separator, ends)
+    cut = ends.join(closed, "file").select("file", "block", F.col("row").alias("cut"))
+    placed = _placed(pieces, blocks.join(cut, ["file", "block"], "left"), "position")
+    text = F.when(F.col("row") == F.col("cut"), drop_final_newline(F.col("text"))).otherwise(F.col("text"))
+    return placed.select("file", "position", text.alias("text")).filter(F.col("text") != "")
+
+
+def with_line(texts: DataFrame) -> DataFrame:
+    """Add ``line``: the place of a ``(file, position)`` among all texts in order of files, as sinks write their vectors."""
+    counts = texts.groupBy("file").agg((F.max("position") + 1).alias("rows"))
+    window = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("file", F.coalesce(F.sum("rows").over(window), F.lit(0)).alias("before"))
+    near = bounded(firsts, "firsts", F.octet_length("file") + 24)
+    return texts.join(near, "file").withColumn("line", F.col("before") + F.col("position")).drop("before")
 
 
 def from_strings(spark: SparkSession, texts: str | list[str]) -> DataFrame:

@@ -92,7 +92,7 @@ def test_long_words_come_back_as_words(table_of, vocabulary_of):
     assert pieces == {"ab": ["ab"], "ab" * 50: ["ab", *["##ab"] * 49], "x" * 70: ["[UNK]"]}
 
 
-@pytest.mark.parametrize("content", ["Text1|||Text2|||Text3\n", "a|||b|||\n", "a|||b|||", "|||a||||||b\n\n", "\n", "x"])
+@pytest.mark.parametrize("content", ["Text1|||Text2|||Text3\n", "a|||b|||\n", "a|||b|||", "|||a||||||b\n\n", "\n", "x", "a|||\n|||", "a\n|||||||||", "a\n||||||b|||\n", "\n\n"])
 def test_delimited_files_are_those_read_whole(spark, tmp_path, content):
     for name in "ab":
         (tmp_path / name).write_text(content)
@@ -113,6 +113,28 @@ def test_delimited_files_in_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_reading_sorts_no_texts(spark, tmp_path):
+    """Only rows per block are sorted or moved; texts stay where they are read."""
+    (tmp_path / "f").write_text("\0".join(f"text {k}\n" for k in range(100)))
+    for read in (S.read_delimited(spark, str(tmp_path / "f")), S.numbered_lines(spark, str(tmp_path / "f"))):
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        texts = next(line for line in plan.splitlines() if "text#" in line and "Relation" in line)
+        above = plan[: plan.index(texts)]
+        assert "Sort" not in above.split("Window")[0] and "Repartition" not in plan
+        executed = read._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in executed and "SortMergeJoin" not in executed
+
+
+def test_lines_of_many_files(spark, tmp_path):
+    for name, count in (("a", 3), ("b", 0), ("c", 2)):
+        (tmp_path / name).write_text("".join(f"{name}{k}\n\n" for k in range(count)))
+    lines = S.numbered_lines(spark, str(tmp_path)).orderBy("line").collect()
+    assert [r.line for r in lines] == list(range(10))
+    assert [r.value for r in lines] == ["a0", "", "a1", "", "a2", "", "c0", "", "c1", ""]
+    texts = S.read_delimited(spark, str(tmp_path), "\\n")
+    assert [(r.line, r.text) for r in S.with_line(texts).orderBy("line").collect()] == list(enumerate(["a0", "a1", "a2", "c0", "c1"]))
+
+
 def test_vectors_pair_with_texts_by_line(spark, tmp_path):
     rows = [(k, [float(k), -0.0]) for k in range(50)]
     files.write_text(spark.createDataFrame(rows, "text_id bigint, embedding array<float>").repartition(7), str(tmp_path / "out"))
