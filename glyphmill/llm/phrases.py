@@ -2,22 +2,23 @@
 
 Confirming passages. A window is filed under its anchor, the leftmost of its ``ANCHOR``-word strings with
 the smallest hash: equal windows have equal anchors at equal places. The windows of a stretch
-that share one form a run, one for about every twelve words. An anchor met once ends there. Where all runs
-of an anchor have the same words, these words are a passage that recurs. Where they differ, the windows of its
-distinct runs are counted by 128-bit digests, and each stretch of windows met twice is a passage. A passage is
-read from one place only; its other places are not remembered.
-
-Locating them. Texts are dealt in blocks of about ``BLOCK_BYTES``. A block is sent the passages of the
-anchors that occur in it, each once however many of its texts have it, so no passage is hot, and no text is compared with
-passages it cannot hold. The texts of the block are read into memory, then the passages stream by: every
-``SHARD`` words of them are compiled into an Aho-Corasick automaton over numbered words, all texts
-of the block run through it, their covered words are marked, and the automaton is dropped. A worker
+that share one form a run, one for about every twelve words. An anchor met once ends there: a first pass counts
+anchors, a bit table of those met twice, ``MOST_BITS`` at most, thins the runs of the second (a full table lets more
+runs through, which costs a shuffle of some 40 bytes a run and no result). Runs with the same words are
+one body. A body met twice recurs as a whole, and bodies that follow each other wherever they are met
+form one passage. Of a body met once, under an anchor with other bodies, the windows are compared with those of
+the others by 128-bit digests, and each stretch of windows met elsewhere is a passage. A passage is read from one
+place only.
+
+Locating them. Texts are dealt in blocks of about ``BLOCK_BYTES``. A block is sent each passage that one of its
+bodies opens, once however many of its texts have it, so no passage is hot. The texts of the block are read into memory,
+then the passages stream by: every ``SHARD`` words of them are compiled into an Aho-Corasick automaton over
+numbered words, all texts of the block run through it, the words it finds are marked, and the automaton is dropped. A worker
 holds one block, or one longer text, and one automaton, however many passages recur.
 
-Rows are told apart by a 128-bit digest of id and text; those equal in both are places of their own, with equal results.
-
 Defined cases: a null text has no words; texts under ``WINDOW`` words lose nothing; texts are used whole, longer ones in
-overlapping pieces that give the same runs; a window that starts twice in one text recurs as well; no rows give no rows.
+overlapping pieces that give the same windows; a window that starts twice in one text recurs as well; repeated rows are
+places of their own, with equal results; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.hot_keys import HOT, lookup
@@ -41,6 +42,9 @@ PLACES = WINDOW - ANCHOR + 1  # Anchors in a window.
 PACK = 1 << 16  # Words looked at together; a longer text comes in pieces of this size.
 BLOCK_BYTES = 4 << 20
 SHARD = 1 << 19  # Words of the passages in an automaton.
+PASSAGE = 1 << 14  # Windows of a passage; a longer one is sent in overlapping parts.
+MOST_BITS = 1 << 27
+BROADCAST_BYTES = 16 * 1024 * 1024
 _POSITION = np.uint64((1 << 20) - 1)
 _FACTOR = 0xD6E8FEB86659FD93
 
@@ -94,10 +98,6 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: count - width + 1], ahead[width - 1 : count])
 
 
-def digest(words: bytes) -> bytes:
-    return hashlib.blake2b(words, digest_size=16).digest()
-
-
 def runs(texts: Iterable[list[bytes]]) -> Iterator[dict[str, list]]:
     """Per pack the runs of windows with one anchor: ``text, at`` (first word), ``windows, anchor, body``."""
     for pieces in _packs(texts):
@@ -115,71 +115,117 @@ def runs(texts: Iterable[list[bytes]]) -> Iterator[dict[str, list]]:
         windows = np.diff(np.append(first, len(least)))
         first, windows = first[whole[first]], windows[whole[first]]
         low, high = starts[first], ends[first + windows + WINDOW - 2]
+        bodies = [hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        body = np.frombuffer(b"".join(bodies), np.int64)
         piece = owner[first]
         number, offset = (np.array([p[k] for p in pieces]) for k in (0, 1))
         place = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        follows = (piece[1:] == piece[:-1]) & (first[1:] == first[:-1] + windows[:-1])
         yield {
             "text": number[piece], "at": offset[piece] + first - place[piece], "windows": windows, "anchor": anchors[least[first]].view(np.int64),
-            "body": [digest(data[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)],
+            "body": body, "next": np.append(np.where(follows, body[1:], LAST), LAST),
         }
 
 
-RUN = pa.schema([("key", pa.binary()), ("block", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("anchor", pa.int64()), ("body", pa.binary())])
-RUN_DDL = "key binary, block bigint, at int, windows int, anchor bigint, body binary"
+LAST = -1  # Stands for no following run.
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for found in runs(map(words_of, batch.column("text").to_pylist())):
-            rows = pa.array(found["text"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key").take(rows), batch.column("block").take(rows), pa.array(found["at"], pa.int32()),
-                    pa.array(found["windows"], pa.int32()), pa.array(found["anchor"], pa.int64()), pa.array(found["body"], pa.binary()),
-                ],
-                schema=RUN,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(found["anchor"])], names=["anchor"])
 
 
-# --- passages that recur ---------------------------------------------------------------
+def _bit_table(anchors: DataFrame, count: int) -> np.ndarray:
+    """Bits of the anchors, 16 for each, ``MOST_BITS`` at most."""
+    bits = min(max(1 << (16 * count).bit_length(), 1 << 16), MOST_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("anchor").bitwiseAND(63).cast("int"))
+    word = F.pmod(F.shiftright("anchor", 6), F.lit(bits // 64))
+    frame = anchors.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[frame["word"].to_numpy(np.int64)] = frame["bits"].to_numpy(np.int64)
+    return table.view(np.uint64)
 
-BODY_DDL = "anchor bigint, uses bigint, body binary, n bigint, mixed boolean, words binary"
-_BODY = pa.schema(
-    [("anchor", pa.int64()), ("uses", pa.int64()), ("body", pa.binary()), ("n", pa.int64()), ("mixed", pa.bool_()), ("words", pa.binary())]
-)
 
+RUN_DDL = "anchor bigint, body bigint, next bigint, key bigint"
+RUN = ("anchor", "body", "next")
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the places of runs to read, to the words of these runs."""
-    for batch in batches:
-        out = []
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-            words = words_of(text)
-            for p in places:
-                part = b" ".join(words[p["at"] : p["at"] + p["windows"] + WINDOW - 1])
-                out.append({"anchor": p["anchor"], "uses": p["uses"], "body": p["body"], "n": p["n"], "mixed": p["mixed"], "words": part})
-        yield pa.RecordBatch.from_pylist(out, schema=_BODY)
 
+def _hits(texts: DataFrame, table: np.ndarray) -> DataFrame:
+    """The runs whose anchor is in the table, with the key of their text."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for found in runs(map(words_of, batch.column("text").to_pylist())):
+                anchor = found["anchor"]
+                inside = (words[(anchor >> 6) % len(words)] >> (anchor & 63).astype(np.uint64)) & np.uint64(1) > 0
+                columns = [found[name][inside] for name in RUN] + [keys[found["text"][inside]]]
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=[*RUN, "key"])
+
+    return texts.select("key", "text").mapInArrow(pick, RUN_DDL)
 
-WINDOW_DDL = "anchor bigint, body binary, at int, n bigint, window binary"
+
+# --- passages that recur ---------------------------------------------------------------
+
+WANTED_DDL = "anchor bigint, body bigint, n bigint, part int, words binary"
+_WANTED = pa.schema([("anchor", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("words", pa.binary())])
+COMPARED = -1  # The part of a body whose windows are compared.
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the bodies to read from them: passages in parts, and bodies whose windows are compared."""
+    for batch in batches:
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            words, left = words_of(text), {(w["anchor"], w["body"]): w for w in wanted}
+            out: list[dict] = []
+            chain: dict | None = None
+
+            def add(w: dict, part: int, low: int, windows: int, words: list[bytes] = words, out: list[dict] = out) -> None:
+                joined = b" ".join(words[low : low + windows + WINDOW - 1])
+                out.append({"anchor": w["anchor"], "body": w["body"], "n": w["n"], "part": part, "words": joined})
+
+            def close() -> None:
+                if chain is not None:
+                    for part, low in enumerate(range(chain["low"], chain["end"], PASSAGE)):
+                        add(chain["first"], part, low, min(PASSAGE, chain["end"] - low))
+
+            for found in runs([words]):
+                for anchor, body, at, windows in zip(*(found[k].tolist() for k in ("anchor", "body", "at", "windows")), strict=True):
+                    w = left.pop((anchor, body), None)
+                    if w is not None and w["mixed"]:
+                        add(w, COMPARED, at, windows)
+                    if w is None or w["n"] < 2:
+                        close()
+                        chain = None
+                    elif chain is not None and chain["end"] == at and chain["next"] == body and chain["first"]["n"] == w["n"]:
+                        chain |= {"end": at + windows, "next": w["next"]}
+                    else:
+                        close()
+                        chain = {"first": w, "low": at, "end": at + windows, "next": w["next"]}
+            close()
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_WANTED)
+
+
+WINDOW_DDL = "id bigint, n bigint, at int, window binary"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of each body by their digests."""
     for batch in batches:
-        anchor, body, at, n, window = [], [], [], [], []
+        number, n, at, window = [], [], [], []
         for row in batch.to_pylist():
             words = row["words"].split(b" ")
             count = len(words) - WINDOW + 1
-            window += [digest(b" ".join(words[k : k + WINDOW])) for k in range(count)]
-            anchor += [row["anchor"]] * count
-            body += [row["body"]] * count
+            window += [hashlib.blake2b(b" ".join(words[k : k + WINDOW]), digest_size=16).digest() for k in range(count)]
+            number += [row["id"]] * count
             n += [row["n"]] * count
             at += range(count)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor, pa.int64()), pa.array(body, pa.binary()), pa.array(at, pa.int32()), pa.array(n, pa.int64()), pa.array(window, pa.binary())],
-            names=["anchor", "body", "at", "n", "window"],
-        )
+        columns = [pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(at, pa.int32()), pa.array(window, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "at", "window"])
 
 
 def _stretches(places: list[int]) -> list[tuple[int, int]]:
@@ -199,45 +245,55 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row in batch.to_pylist():
             words = row["words"].split(b" ")
-            for low, high in _stretches(sorted(row["places"])):
-                out.append({"anchor": row["anchor"], "uses": row["uses"], "words": b" ".join(words[low : high + WINDOW])})
-        yield pa.RecordBatch.from_pylist(out, schema=_PASSAGE)
-
-
-PASSAGE_DDL = "anchor bigint, uses bigint, words binary"
-_PASSAGE = pa.schema([("anchor", pa.int64()), ("uses", pa.int64()), ("words", pa.binary())])
+            for part, (low, high) in enumerate(_stretches(sorted(row["places"]))):
+                cut = b" ".join(words[low : high + WINDOW])
+                out.append({"anchor": row["anchor"], "body": row["body"], "n": row["n"], "part": part, "words": cut})
+        yield pa.RecordBatch.from_pylist(out, schema=_WANTED)
 
 
 def passages(texts: DataFrame, hits: DataFrame, total: int) -> DataFrame:
-    """``anchor, uses, words``: the distinct passages that recur; ``hits`` are the runs whose anchor is met ``uses`` times."""
-    place = F.struct("key", "at", "windows", "uses")
-    bodies = settle(hits.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("n"), F.first(place).alias("place")), "bodies")
-    kinds = settle(bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
-    bodies = lookup(bodies, kinds, ["anchor"], F.col("kinds"), total)
-    run = F.struct("place.at", "place.windows", "anchor", "place.uses", "body", "n", (F.col("kinds") > 1).alias("mixed"))
-    per_text = settle(bodies.groupBy("place.key").agg(F.collect_list(run).alias("places")), "places")
-    # Rows equal in id and text give the same bodies.
-    read = texts.join(per_text, "key").select("text", "places").mapInArrow(_bodies, BODY_DDL)
-    read = settle(read.dropDuplicates(["anchor", "body"]), "words")
-    whole = read.filter("not mixed").select("anchor", "uses", "words")
-    rows, counted = settle_measured(read.filter("mixed").mapInArrow(_windows, WINDOW_DDL), "windows", n=F.count(F.lit(1)))
-    twice = rows.groupBy("window").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bodies")).filter("n > 1").select("window", "bodies")
-    again = lookup(rows, settle(twice, "twice"), ["window"], F.col("bodies"), counted["n"] or 0)
-    places = again.groupBy("anchor", "body").agg(F.collect_list("at").alias("places"))
-    cut = read.filter("mixed").join(places, ["anchor", "body"]).select("anchor", "uses", "words", "places")
-    return settle(whole.unionByName(cut.mapInArrow(_cut, PASSAGE_DDL).distinct()), "passages")
-
-
-def sent(hits: DataFrame, recurring: DataFrame) -> DataFrame:
-    """``block, words``: every passage once for each block that has its anchor.
-
-    An anchor of many blocks is dealt in parts of about ``HOT`` blocks, its passages to every part.
+    """``anchor, body, n, part, words``: the passages that recur, under the body that opens them, which is met ``n`` times."""
+    bodies = hits.groupBy("anchor", "body").agg(
+        F.count(F.lit(1)).alias("n"), F.min("next").alias("next"), F.max("next").alias("other"), F.min("key").alias("key")
+    )
+    bodies = settle(bodies.withColumn("next", F.when(F.col("next") == F.col("other"), F.col("next"))).drop("other"), "bodies")
+    kinds = bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+    kinds = settle(kinds.filter("kinds > 1 and least = 1"), "kinds")
+    mixed = lookup(bodies, kinds.drop("least"), ["anchor"], F.col("kinds"), total).withColumn("mixed", F.lit(True)).drop("kinds")
+    plain = bodies.filter("n > 1").join(kinds.select("anchor"), "anchor", "left_anti").withColumn("mixed", F.lit(False))
+    columns = ("anchor", "body", "n", "next", "mixed")
+    wanted = mixed.select("key", *columns).unionByName(plain.select("key", *columns))
+    wanted, counted = settle_measured(wanted.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "wanted", n=F.count(F.lit(1)))
+    if counted["n"] * 16 <= BROADCAST_BYTES:  # Few texts to read: the others are not shuffled.
+        texts = texts.join(F.broadcast(wanted.select("key")), "key", "left_semi")
+    # Two texts of one key are both read; what they share is dropped here.
+    read = texts.join(wanted, "key").select("text", "wanted").mapInArrow(_read, WANTED_DDL)
+    read = settle(read.dropDuplicates(["anchor", "body", "part"]).withColumn("id", F.monotonically_increasing_id()), "passages")
+    compared = read.filter(F.col("part") == COMPARED)
+    rows, counted = settle_measured(compared.select("id", "n", "words").mapInArrow(_windows, WINDOW_DDL), "windows", n=F.count(F.lit(1)))
+    twice = rows.groupBy("window").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("uses")).filter("n > 1").select("window", "uses")
+    single = rows.filter("n = 1").select("id", "at", "window")
+    again = lookup(single, settle(twice, "twice"), ["window"], F.col("uses"), counted["n"] or 0)
+    places = again.groupBy("id").agg(F.collect_list("at").alias("places"))
+    cut = compared.filter("n = 1").join(places, "id").select("anchor", "body", "n", "words", "places").mapInArrow(_cut, WANTED_DDL)
+    return settle(read.filter(F.col("part") != COMPARED).drop("id").unionByName(cut), "recurring")
+
+
+def sent(hits: DataFrame, recurring: DataFrame, blocks: int, total: int) -> DataFrame:
+    """``block, words``: every passage once for each block that has the body that opens it.
+
+    A body met often is dealt in shares of about ``HOT`` blocks, its passages to every share.
     """
-    parts = F.ceil(F.col("uses") / HOT).cast("bigint")
-    pairs = hits.select("block", "anchor", "uses").distinct()
-    pairs = pairs.select("block", "anchor", F.pmod(F.xxhash64("block"), parts).alias("part"))
-    dealt = recurring.select("anchor", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
-    return pairs.join(dealt, ["anchor", "part"]).select("block", "words")
+    openings = settle(recurring.groupBy("anchor", "body").agg(F.first("n").alias("n")), "openings")
+    met = lookup(hits.select("anchor", "body", _block(blocks).alias("block")).distinct(), openings, ["anchor", "body"], F.col("n"), total)
+    shares = F.ceil(F.col("n") / HOT).cast("bigint")
+    met = met.select("block", "anchor", "body", F.pmod(F.xxhash64("block"), shares).alias("share"))
+    dealt = recurring.select("anchor", "body", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("share"))
+    return met.join(dealt, ["anchor", "body", "share"]).select("block", "words")
+
+
+def _block(blocks: int):
+    return F.pmod(F.xxhash64("key"), F.lit(blocks))
 
 
 # --- places ------------------------------------------------------------------------------
@@ -335,16 +391,16 @@ def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes")).head().bytes or 0
     blocks = -(-size // BLOCK_BYTES) + 1
-    named: Column = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    texts = texts.withColumn("key", F.unhex(F.md5(named))).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    found, counted = settle_measured(texts.select("key", "block", "text").mapInArrow(_runs, RUN_DDL), "runs", n=F.count(F.lit(1)))
-    total = counted["n"] or 0
-    anchors = settle(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"), "anchors")
-    hits = settle(lookup(found, anchors, ["anchor"], F.col("uses"), total), "hits")
+    # Texts that share a key by chance share a block and are read together; nothing else depends on it.
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    counted = texts.select("text").mapInArrow(_anchors, "anchor bigint").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    anchors, measured = settle_measured(counted.filter("n > 1").select("anchor"), "anchors", n=F.count(F.lit(1)))
+    hits, found = settle_measured(_hits(texts, _bit_table(anchors, measured["n"])), "hits", n=F.count(F.lit(1)))
+    total = found["n"] or 0
     recurring = passages(texts.select("key", "text"), hits, total)
     none = F.lit(None)
-    rows = texts.select("block", "doc_id", "text", none.cast("binary").alias("words")).unionByName(
-        sent(hits, recurring).select("block", none.cast("bigint").alias("doc_id"), none.cast("string").alias("text"), "words")
+    rows = texts.select(_block(blocks).alias("block"), "doc_id", "text", none.cast("binary").alias("words")).unionByName(
+        sent(hits, recurring, blocks, total).select("block", none.cast("bigint").alias("doc_id"), none.cast("string").alias("text"), "words")
     )
     tasks = max(documents.sparkSession.sparkContext.defaultParallelism, blocks // 4)
     dealt = rows.repartition(tasks, "block").sortWithinPartitions("block", F.col("words").isNotNull())
