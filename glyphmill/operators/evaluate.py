@@ -1,17 +1,24 @@
-"""Classification scores of embeddings: few-shot experiments and their metrics."""
+"""Classification scores of embeddings: few-shot experiments and their metrics.
+
+The classifiers are linear: a vector has a score for each label of an experiment and the best
+score wins. Their weights are labels times width in size, so they are handled in blocks
+of a bounded size, and a table of any size meets a block in its own tasks.
+"""
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import norm
-from glyphmill.session import BROADCAST_BYTES, bounded, settle
+from glyphmill.operators.words import with_ordinal
+from glyphmill.session import BROADCAST_BYTES, bounded, settle, settle_measured, ship
 
 # Fixed value: experiments of a benchmark run.
 EXPERIMENTS = 10
@@ -54,43 +61,103 @@ def centroids(labelled: DataFrame, drawn: DataFrame, key: str, vector: str = "em
     return packed.select("experiment", "label", F.transform("values", lambda v: v["value"]).alias("centroid"))
 
 
+@dataclass(frozen=True)
+class Block:
+    """Linear classifiers, or some labels of them: ``weights[k]`` scores the label ``labels[k]`` of ``experiments[k]``."""
+
+    experiments: np.ndarray
+    labels: pa.Array
+    weights: np.ndarray  # with one more column than a vector is wide if there is a bias
+
+    @staticmethod
+    def of(rows: pa.Table, weights: str) -> Block:
+        """From rows ``experiment, label, weights``, by experiment and then by label."""
+        table = rows.sort_by([("experiment", "ascending"), ("label", "ascending")]).combine_chunks()
+        widths = set(np.diff(table[weights].chunk(0).offsets.to_numpy())) if len(table) else {0}
+        if len(widths) > 1:
+            raise ValueError(f"classifiers of different widths: {sorted(widths)}")
+        flat = table[weights].chunk(0).flatten().to_numpy() if len(table) else np.empty(0)
+        label = table["label"].chunk(0) if len(table) else pa.array([], table.schema.field("label").type)
+        return Block(table["experiment"].to_numpy(), label, flat.reshape(len(table), -1))
+
+
+def _dense(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows, and which of them have the width and no null; the others are zero."""
+    rows = np.zeros((len(vectors), width))
+    fits = np.zeros(len(vectors), bool)
+    for number, vector in enumerate(vectors):
+        values = vector.values
+        if values is not None and len(values) == width and not values.null_count:
+            rows[number], fits[number] = values.to_numpy(), True
+    return rows, fits
+
+
+def _answers(rows: DataFrame, block: Block, key: str, bias: bool) -> DataFrame:
+    """``experiment, key, label, prediction, score``: the best label of the block for each row and experiment.
+
+    Of equal scores the smallest label counts; a vector that is null, holds nulls or has another width gets none.
+    """
+    ship(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    kind = rows.schema["label"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        first = np.flatnonzero(np.append(True, block.experiments[1:] != block.experiments[:-1])) if len(block.experiments) else []
+        for batch in batches:
+            vectors, fits = _dense(batch.column("vector"), block.weights.shape[1] - bias)
+            if bias:
+                vectors = np.concatenate([vectors, np.ones((len(vectors), 1))], axis=1)
+            # Not by a matrix library: equal weights must give equal scores wherever they stand.
+            scores = np.einsum("ij,kj->ik", vectors, block.weights)
+            scores[np.isnan(scores)] = -np.inf
+            for low, high in zip(first, [*first[1:], len(block.experiments)], strict=True):
+                place = scores[:, low:high].argmax(axis=1) + low
+                answer = pa.array(place, mask=~fits)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(vectors), block.experiments[low], np.int32)), batch.column(key), batch.column("label"),
+                        block.labels.take(answer), pa.array(scores[np.arange(len(vectors)), place], mask=~fits),
+                    ],
+                    names=["experiment", key, "label", "prediction", "score"],
+                )
+
+    schema = f"experiment int, `{key}` {rows.schema[key].dataType.simpleString()}, label {kind}, prediction {kind}, score double"
+    return rows.mapInArrow(score, schema)
+
+
+def _predict(labelled: DataFrame, blocks: list[Block], key: str, vector: str, bias: bool) -> DataFrame:
+    """The best label over all blocks. One block is complete in itself; several leave a row's best of each, merged by key."""
+    rows = labelled.select(key, "label", F.col(vector).cast("array<double>").alias("vector"))
+    answers = reduce(DataFrame.unionByName, (_answers(rows, block, key, bias) for block in blocks))
+    if len(blocks) == 1:
+        return answers.drop("score")
+    best = answers.groupBy("experiment", key, "label").agg(F.min(F.struct((-F.col("score")).alias("score"), "prediction")).alias("best"))
+    return best.select("experiment", key, "label", F.col("best.prediction").alias("prediction"))
+
+
 def nearest_centroid(
     labelled: DataFrame, centroid_table: DataFrame, key: str, vector: str = "embedding", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Predict the label whose centroid has the highest cosine: ``(experiment, key, label, prediction)``.
 
-    The centroids of an experiment travel as one array, so a vector meets them
-    in its own row and no table of pairs is built. They are labels times width
-    in size and are measured before they are broadcast.
+    Centroids are numbered and taken in blocks of ``limit`` bytes, one centroid at least; only a block is ever in
+    one place. The table is read once for each block and never shuffled by experiment.
     """
     # A centroid without length has the cosine 0 with everything.
     scaled = centroid_table.withColumn("length", norm(F.col("centroid"))).select(
-        "experiment",
-        F.struct(
-            "label",
-            F.transform("centroid", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("unit"),
-        ).alias("model"),
+        F.col("experiment").cast("int").alias("experiment"),
+        "label",
+        F.transform("centroid", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("unit"),
     )
-    models = bounded(
-        scaled.groupBy("experiment").agg(F.collect_list("model").alias("models")),
-        "centroids",
-        F.size("models") * (F.size(F.col("models")[0]["unit"]) * 8 + 48),
-        limit,
-    )
-    rows = labelled.select(key, "label", F.col(vector).cast("array<double>").alias("vector"))
-    experiments = [row.experiment for row in models.select("experiment").orderBy("experiment").collect()]
-    asked = rows.withColumn("experiment", F.explode(F.lit(experiments)))
-
-    def score(model):
-        products = F.zip_with(F.col("vector"), model["unit"], lambda x, y: x * y)
-        total = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-        return F.struct(total.alias("score"), model["label"].alias("label"))
-
-    scored = asked.join(models, "experiment").select("experiment", key, "label", F.transform("models", score).alias("scores"))
-    # Of equal scores the smallest label counts, whatever type labels have.
-    top = F.array_max(F.transform("scores", lambda s: s["score"]))
-    best = F.array_min(F.transform(F.filter("scores", lambda s: s["score"] == top), lambda s: s["label"]))
-    return scored.select("experiment", key, "label", best.alias("prediction"))
+    units, measured = settle_measured(scaled, "centroids", rows=F.count(F.lit(1)), widest=F.max(F.size("unit") * 8 + 48))
+    size = max(limit // max(measured["widest"] or 1, 1), 1)
+    if measured["rows"] <= size:
+        parts = [units]
+    else:
+        numbered = settle(with_ordinal(units, "experiment", "label"), "centroids")
+        parts = [numbered.filter(F.floor(F.col("ordinal") / size) == k).drop("ordinal") for k in range(-(-measured["rows"] // size))]
+    return _predict(labelled, [Block.of(part.toArrow(), "unit") for part in parts], key, vector, bias=False)
 
 
 def held_out(predictions: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
@@ -98,42 +165,97 @@ def held_out(predictions: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
     return predictions.join(_few(drawn, key), ["experiment", key], "left_anti")
 
 
+def _gradients(training: DataFrame, block: Block) -> np.ndarray:
+    """The gradients of the losses of all experiments: one pass over the training rows, one aggregation by weight."""
+    shared = training.sparkSession.sparkContext.broadcast(block)
+    shape = block.weights.shape
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = shared.value, None
+        for batch in batches:
+            vectors = _dense(batch.column("vector"), shape[1])[0]
+            total = np.zeros(shape) if total is None else total
+            experiments = batch.column("experiment").to_numpy()
+            for experiment in np.unique(experiments):
+                mine = np.flatnonzero(block.experiments == experiment)
+                if not len(mine):
+                    continue
+                rows = np.flatnonzero(experiments == experiment)
+                scores = vectors[rows] @ block.weights[mine].T
+                parts = np.exp(scores - scores.max(axis=1, keepdims=True))
+                parts /= parts.sum(axis=1, keepdims=True)
+                own = batch.column("place").to_numpy()[rows]
+                parts[np.arange(len(rows)), own] -= 1.0
+                total[mine] += parts.T @ vectors[rows]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
+
+    summed = training.mapInArrow(sums, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(shape)
+    out.ravel()[summed["at"].to_numpy()] = summed["value"].to_numpy()
+    return out
+
+
 def linear_probe(
-    labelled: DataFrame, drawn: DataFrame, key: str, vector: str = "embedding", iterations: int = 100, parallelism: int = 4
+    labelled: DataFrame,
+    drawn: DataFrame,
+    key: str,
+    vector: str = "embedding",
+    iterations: int = 30,
+    penalty: float = 1.0,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Logistic regression on the drawn rows of each experiment, applied to all rows.
+    """Logistic regression on the drawn rows of each experiment, applied to all rows: ``(experiment, key, label, prediction)``.
 
-    One model per experiment is fitted by MLlib; all of them then predict in a
-    single pass over the table: ``(experiment, key, label, prediction)``.
+    All experiments are fitted together: ``iterations`` accelerated gradient steps from zero on the sum of the log losses
+    plus ``penalty / 2`` times the squared weights (not the bias), each step one pass over the drawn rows. The step is the
+    inverse of a bound of the curvature, half the sum of the squared lengths of an experiment's rows (with a 1 for
+    the bias) plus the penalty, so every step but the accelerations' swing goes downhill. Weights of more than ``limit`` bytes are fitted in
+    groups of experiments. Rows whose vector is null or not of the usual width train nothing.
     """
-    features = labelled.select(key, "label", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    # A small sample read by every iteration: AQE writes it in as few pieces as its size asks for.
-    training = settle(
-        features.join(_few(drawn, key), key).repartition("experiment", "label"), "training"
-    )
-    experiments = [row.experiment for row in training.select("experiment").distinct().orderBy("experiment").collect()]
-
-    def fit(experiment: int) -> LogisticRegressionModel:
-        regression = LogisticRegression(
-            maxIter=iterations,
-            featuresCol="features",
-            predictionCol=f"prediction_{experiment}",
-            rawPredictionCol="",
-            probabilityCol="",
-        )
-        return regression.fit(training.filter(F.col("experiment") == experiment))
-
-    with ThreadPool(parallelism) as pool:  # jobs of several fits at a time
-        models = pool.map(inheritable_thread_target(features.sparkSession)(fit), experiments)
-    predicted = features
-    for model in models:
-        predicted = model.transform(predicted)
-    answers = F.array(
-        *[F.struct(F.lit(e).alias("experiment"), F.col(f"prediction_{e}").cast("int").alias("prediction")) for e in experiments]
-    )
-    return predicted.select(key, "label", F.explode(answers).alias("answer")).select(
-        F.col("answer.experiment").alias("experiment"), key, "label", F.col("answer.prediction").alias("prediction")
+    ship(labelled.sparkSession)
+    rows = labelled.select(key, "label", F.concat(F.col(vector).cast("array<double>"), F.array(F.lit(1.0))).alias("vector"))
+    usual = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    joined = rows.filter(usual & F.col("label").isNotNull()).join(_few(drawn, key), key)
+    labels = Window.partitionBy("experiment").orderBy("label")
+    training = settle(joined.select(F.col("experiment").cast("int").alias("experiment"), "label", "vector"), "training")
+    squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
+    facts = settle(
+        training.groupBy("experiment", "label").agg(F.sum(squares).alias("squares"), F.max(F.size("vector")).alias("width")), "labels"
     )
+    known = facts.withColumn("place", F.dense_rank().over(labels) - 1)
+    width = facts.agg(F.max("width")).head()[0] or 1
+    # Dealt by label, since a sample of few rows a label is small: as many pieces as its size asks for.
+    training = settle(
+        training.filter(F.size("vector") == width).join(F.broadcast(known.select("experiment", "label", "place")), ["experiment", "label"])
+        .select("experiment", "place", "vector").repartition("experiment", "place"), "training",
+    )
+    classes = facts.select("experiment", "label", "squares").toArrow().sort_by([("experiment", "ascending"), ("label", "ascending")])
+    experiments = classes["experiment"].to_numpy()
+    groups: list[list[int]] = []
+    for experiment in np.unique(experiments).tolist():
+        size = (experiments == experiment).sum() * width * 8
+        if not groups or sum((experiments == e).sum() for e in groups[-1]) * width * 8 + size > limit:
+            groups.append([])
+        groups[-1].append(experiment)
+    blocks = []
+    for group in groups:
+        mine = classes.filter(pa.array(np.isin(experiments, group))).combine_chunks()
+        own = mine["experiment"].to_numpy()
+        bound = np.array([0.5 * mine["squares"].to_numpy()[own == e].sum() + penalty for e in own])
+        part = training.filter(F.col("experiment").isin(group)) if len(groups) > 1 else training
+        shrink = np.full(width, penalty)
+        shrink[-1] = 0.0
+        weights = before = np.zeros((len(own), width))
+        label = mine["label"].chunk(0)
+        for step in range(iterations):
+            ahead = weights + step / (step + 3) * (weights - before)
+            gradient = _gradients(part, Block(own, label, ahead)) + shrink * ahead
+            weights, before = ahead - gradient / bound[:, None], weights
+        blocks.append(Block(own, label, weights))
+    if not blocks:
+        return labelled.select(F.lit(0).alias("experiment"), key, "label", F.col("label").alias("prediction")).limit(0)
+    return _predict(labelled, blocks, key, vector, bias=True)
 
 
 def label_scores(predictions: DataFrame) -> DataFrame:

@@ -194,17 +194,15 @@ predictions as materialized (
   qualify row_number() over (partition by experiment, vec_id order by score desc, candidate) = 1)"""
 )
 
-SCORED = (
-    PREDICTED
-    + """,
-classes as (
+_SCORES = """,
+counted_classes as (
   select experiment, label as class from predictions union select experiment, prediction from predictions),
 class_counts as (
   select c.experiment, c.class,
          count(*) filter (where p.label = c.class) as support,
          count(*) filter (where p.prediction = c.class) as predicted,
          count(*) filter (where p.label = c.class and p.prediction = c.class) as hits
-  from classes c join predictions p on p.experiment = c.experiment group by 1, 2),
+  from counted_classes c join predictions p on p.experiment = c.experiment group by 1, 2),
 class_scores as (select *, 2.0::double * hits / (support + predicted) as f1 from class_counts),
 scores as (
   select s.experiment, a.accuracy, avg(s.f1) as f1, sum(s.f1 * s.support) / sum(s.support) as f1_weighted
@@ -212,6 +210,47 @@ scores as (
   join (select experiment, avg((label = prediction)::int) as accuracy from predictions group by 1) a
     on a.experiment = s.experiment
   group by 1, 2)"""
+SCORED = PREDICTED + _SCORES
+
+# Thirty accelerated gradient steps from zero; ``w`` and ``b`` are the weights after a step and before it.
+PROBED = (
+    DRAWN
+    + """,
+sample as materialized (
+  select d.experiment, d.vec_id, d.label, list_append(e.embedding::double[], 1.0) as x from drawn d join embeddings e using (vec_id)),
+bounds as (select experiment, 0.5 * sum(list_inner_product(x, x)) + 1.0 as bound from sample group by 1),
+classes as (select distinct experiment, label from sample),
+steps(step, experiment, label, w, b) as (
+  select 0, experiment, label, list_transform(range(65), lambda i: 0.0::double), list_transform(range(65), lambda i: 0.0::double) from classes
+  union all
+  select step + 1, experiment, label, list_transform(range(1, 66), lambda i: y[i] - (g[i] + (case when i < 65 then y[i] else 0 end)) / bound), w
+  from (
+    with ahead as (
+      select step, experiment, label, w,
+        list_transform(range(1, 66), lambda i: w[i] + step::double / (step + 3) * (w[i] - b[i])) as y
+      from steps where step < 30),
+    scores as (
+      select a.experiment, a.label, s.vec_id, s.label as own, s.x, list_inner_product(a.y, s.x) as score
+      from ahead a join sample s on s.experiment = a.experiment),
+    parts as (
+      select experiment, label, own, x, exp(score - max(score) over r) as part, score, vec_id,
+        sum(exp(score - top)) over r as total
+      from (select *, max(score) over (partition by experiment, vec_id) as top from scores) window r as (partition by experiment, vec_id)),
+    slopes as (
+      select experiment, label, pos, sum((part / total - (label = own)::int) * value) as g
+      from (select experiment, label, own, part, total, unnest(range(65)) as pos, unnest(x) as value from parts) group by 1, 2, 3),
+    gradients as (select experiment, label, list(g order by pos) as g from slopes group by 1, 2)
+    select a.step, a.experiment, a.label, a.w, a.y, gradients.g, bounds.bound
+    from ahead a join gradients on gradients.experiment = a.experiment and gradients.label = a.label
+    join bounds on bounds.experiment = a.experiment)),
+answers as (
+  select c.experiment, e.vec_id, e.label, c.label as candidate,
+    list_inner_product(list_append(e.embedding::double[], 1.0), c.w) as score
+  from embeddings e, (select * from steps where step = 30) c
+  where not exists (select 1 from drawn d where d.experiment = c.experiment and d.vec_id = e.vec_id)),
+predictions as materialized (
+  select experiment, vec_id, label, candidate as prediction from answers
+  qualify row_number() over (partition by experiment, vec_id order by score desc, candidate) = 1)"""
 )
 
 LINE_SIDES = (
@@ -402,6 +441,12 @@ ORACLES: dict[str, str] = {
         from embeddings e cross join (select distinct experiment from drawn) x
         where not exists (select 1 from drawn d where d.experiment = x.experiment and d.vec_id = e.vec_id) group by 1""",
     ),
+    "linear_probe": _chain(PROBED, last="select experiment, vec_id, label, prediction from predictions"),
+    "probe_scores": _chain(
+        PROBED + _SCORES,
+        last="""
+        select experiment, round(accuracy, 6) as accuracy, round(f1, 6) as f1, round(f1_weighted, 6) as f1_weighted from scores""",
+    ),
     "nearest_centroid": _chain(PREDICTED, last="select experiment, vec_id, label, prediction from predictions"),
     "label_scores": _chain(
         SCORED,

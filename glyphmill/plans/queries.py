@@ -397,6 +397,12 @@ def linear_probe(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.held_out(evaluate.linear_probe(vectors, drawn, "vec_id"), drawn, "vec_id")
 
 
+def _score(name: str) -> Query:
+    return lambda spark, folder: evaluate.experiment_scores(_predictions(spark, folder)).select(
+        "experiment", rounded(name).alias(name)
+    )
+
+
 def linear_probe_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Per experiment what is known without a fit: rows, ids, their labels, and predictions outside the labels."""
     labels = [row.label for row in _vectors(spark, folder).select("label").distinct().collect()]
@@ -408,10 +414,10 @@ def linear_probe_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _score(name: str) -> Query:
-    return lambda spark, folder: evaluate.experiment_scores(_predictions(spark, folder)).select(
-        "experiment", rounded(name).alias(name)
-    )
+def probe_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores of the probe, as a benchmark reports them."""
+    scores = evaluate.experiment_scores(linear_probe(spark, folder))
+    return scores.select("experiment", *[rounded(c).alias(c) for c in ("accuracy", "f1", "f1_weighted")])
 
 
 accuracy = _score("accuracy")
@@ -455,7 +461,7 @@ QUERIES: dict[str, Query] = {
         "embed", "embed_sql", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",
         "l2_normalize", "bad_vectors", "bad_lines", "parse_embeddings", "format_embeddings", "text_sink",
         "cardinality", "unpaired", "embedding_profile", "table_profile", "cosine",
-        "few_shot", "nearest_centroid", "linear_probe", "linear_probe_facts", "label_scores",
+        "few_shot", "nearest_centroid", "linear_probe", "linear_probe_facts", "probe_scores", "label_scores",
         "accuracy", "macro_f1", "weighted_f1", "score_summary", "score_report",
     )
 }
