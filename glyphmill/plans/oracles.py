@@ -468,5 +468,5 @@ ORACLES: dict[str, str] = {
                round(avg(f1_weighted), 6) as f1_weighted, count(*) as experiments from scores""",
     ),
 }
-for _same in ("embed_checked", "embed_sql"):
+for _same in ("embed_checked", "embed_distinct", "embed_sql"):
     ORACLES[_same] = ORACLES["embed"]

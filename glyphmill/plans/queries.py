@@ -12,6 +12,7 @@ from glyphmill.functions import ids as I
 from glyphmill.functions import text as X
 from glyphmill.functions import vectors as V
 from glyphmill.operators import batches, evaluate, lexicon, profile, quality, tokens
+from glyphmill.operators.distinct import embed_distinct as embed_different_texts
 from glyphmill.operators.embed import embed as embed_texts
 from glyphmill.operators.embed import encode as encode_texts
 from glyphmill.operators.table_function import register_texts
@@ -258,6 +259,12 @@ def embed_sql(spark: SparkSession, folder: str) -> DataFrame:
     return exploded(found, "text_id", F.col("embedding").cast("array<double>"))
 
 
+def embed_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies share the vector of one run of the model; little is broadcast, so both ways back are taken."""
+    found = embed_different_texts(texts(spark, folder), vocabulary(spark, folder), MixingEncoder(), limit=64 * 1024)
+    return exploded(found, "text_id", F.col("embedding").cast("array<double>"))
+
+
 def embed_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """A model that fails on some texts: these alone have no vector, and tell why."""
     found = embed_texts(texts(spark, folder), vocabulary(spark, folder), PickyEncoder(), report_errors=True)
@@ -458,7 +465,7 @@ QUERIES: dict[str, Query] = {
         "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_conversations",
         "token_table", "token_head", "encode", "attention_mask", "token_types",
         "batch_ids", "batch_sizes", "flat_batch", "detokenize",
-        "embed", "embed_sql", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",
+        "embed", "embed_sql", "embed_distinct", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",
         "l2_normalize", "bad_vectors", "bad_lines", "parse_embeddings", "format_embeddings", "text_sink",
         "cardinality", "unpaired", "embedding_profile", "table_profile", "cosine",
         "few_shot", "nearest_centroid", "linear_probe", "linear_probe_facts", "probe_scores", "label_scores",

@@ -70,3 +70,53 @@ def test_linear_probe(labelled):
     assert predictions.count() == 2 * labelled.count()
     on_drawn = predictions.join(drawn.select("experiment", "vec_id"), ["experiment", "vec_id"])
     assert E.experiment_scores(on_drawn).agg(F.min("accuracy")).head()[0] > 0.8
+
+
+def test_blocks_of_any_size_give_the_same(labelled):
+    """Ten blocks or one, and experiments fitted in groups: nothing changes."""
+    drawn = E.few_shot(labelled, "vec_id", experiments=3, per_label=4)
+    means = E.centroids(labelled, drawn, "vec_id")
+    one = sorted(E.nearest_centroid(labelled, means, "vec_id").collect())
+    assert sorted(E.nearest_centroid(labelled, means, "vec_id", limit=4000).collect()) == one
+    plan = E.nearest_centroid(labelled, means, "vec_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # one block: the table is not moved
+    probe = sorted(E.linear_probe(labelled, drawn, "vec_id", iterations=5).collect())
+    assert sorted(E.linear_probe(labelled, drawn, "vec_id", iterations=5, limit=1).collect()) == probe
+
+
+def test_ties_and_vectors_that_fit_nothing(spark):
+    rows = [(1, [1.0, 0.0], "b"), (2, [0.0, 1.0], "a"), (3, [1.0, 1.0], "a"), (4, None, "a"), (5, [1.0], "b"), (6, [None, 1.0], "a"), (7, [float("nan"), 0.0], "b")]
+    labelled = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    means = spark.createDataFrame([(0, "b", [1.0, 0.0]), (0, "a", [0.0, 1.0])], "experiment int, label string, centroid array<double>")
+    for limit in (10**6, 0):
+        found = {r.vec_id: r.prediction for r in E.nearest_centroid(labelled, means, "vec_id", limit=limit).collect()}
+        assert found == {1: "b", 2: "a", 3: "a", 4: None, 5: None, 6: None, 7: "a"}
+    drawn = spark.createDataFrame([(0, k) for k in (1, 2, 4, 6)], "experiment int, vec_id bigint")
+    found = {r.vec_id: r.prediction for r in E.linear_probe(labelled, drawn, "vec_id").collect()}
+    assert {k: found[k] for k in (1, 2, 4, 5, 6)} == {1: "b", 2: "a", 4: None, 5: None, 6: None}
+    none = E.linear_probe(labelled, drawn.limit(0), "vec_id")
+    assert none.collect() == [] and none.columns == ["experiment", "vec_id", "label", "prediction"]
+
+
+def test_the_probe_minimises_its_loss(spark, labelled):
+    """Against scipy-free reference steps in plain numpy on one experiment."""
+    import numpy as np
+
+    drawn = E.few_shot(labelled, "vec_id", experiments=2, per_label=3)
+    rows = labelled.join(drawn.filter("experiment = 1").select("vec_id"), "vec_id").collect()
+    x = np.array([[*r.embedding, 1.0] for r in rows])
+    labels = sorted({r.label for r in rows})
+    y = np.array([labels.index(r.label) for r in rows])
+    w = before = np.zeros((len(labels), x.shape[1]))
+    shrink = np.array([1.0] * (x.shape[1] - 1) + [0.0])
+    for step in range(30):
+        ahead = w + step / (step + 3) * (w - before)
+        p = np.exp(x @ ahead.T)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        w, before = ahead - (p.T @ x + shrink * ahead) / (0.5 * (x * x).sum() + 1.0), w
+    table = labelled.collect()
+    best = (np.array([[*r.embedding, 1.0] for r in table]) @ w.T).argmax(axis=1)
+    expected = {r.vec_id: labels[k] for r, k in zip(table, best, strict=True)}
+    found = E.linear_probe(labelled, drawn, "vec_id").filter("experiment = 1").collect()
+    assert {r.vec_id: r.prediction for r in found} == expected
