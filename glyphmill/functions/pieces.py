@@ -6,11 +6,15 @@ vocabulary that a Python worker holds. Words met before are remembered, up to a
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+import tempfile
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
-from pyspark.broadcast import Broadcast
+from pyspark import SparkFiles
 
 from glyphmill.functions.ids import MAX_LENGTH
 from glyphmill.functions.text import words_of
@@ -21,12 +25,43 @@ from glyphmill.sources.vocabulary import INNER, SpecialTokens, Vocabulary
 REMEMBERED = 1 << 16
 
 
-def shared_ids(vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> Broadcast:
-    """The forward table as a dictionary on every executor; a vocabulary beyond ``limit`` bytes is refused."""
+@lru_cache(maxsize=2)
+def _open_ids(name: str) -> dict[str, int]:
+    """The dictionary of a file, read once per Python worker and kept between tasks."""
+    return pickle.loads(Path(SparkFiles.get(name)).read_bytes())
+
+
+class SentIds:
+    """The forward table of a vocabulary as a dictionary that every worker can open: ``value``.
+
+    A file sent to the executors and not a broadcast variable, which the state of a stream cannot hold.
+    """
+
+    def __init__(self, name: str):
+        self.name = name
+
+    @property
+    def value(self) -> dict[str, int]:
+        return _open_ids(self.name)
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def sent_ids(vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> SentIds:
+    """Send the forward table once per application, under a name of its content; beyond ``limit`` bytes it is refused."""
     if vocabulary.bytes > limit:
         raise ValueError(f"a vocabulary of {vocabulary.bytes} bytes is too large to send to every worker; use embed()")
     context = vocabulary.entries.sparkSession.sparkContext
-    return context.broadcast(dict(vocabulary.lookup.select("token", "token_id").toArrow().to_pandas().itertuples(index=False)))
+    rows = vocabulary.lookup.select("token", "token_id").toArrow()
+    content = pickle.dumps(dict(sorted(zip(rows["token"].to_pylist(), rows["token_id"].to_pylist(), strict=True))))
+    name = f"{hashlib.sha256(content).hexdigest()[:16]}-ids"
+    if (context.applicationId, name) not in _sent:
+        file = Path(tempfile.mkdtemp(prefix="glyphmill-")) / name
+        file.write_bytes(content)
+        context.addFile(str(file))
+        _sent.add((context.applicationId, name))
+    return SentIds(name)
 
 
 class Segmenter:

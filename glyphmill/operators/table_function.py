@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from glyphmill.functions.ids import MAX_LENGTH
-from glyphmill.functions.pieces import Segmenter, model_sequence, shared_ids
+from glyphmill.functions.pieces import Segmenter, model_sequence, sent_ids
 from glyphmill.operators.embed import BATCH_SIZE, VECTOR, Encoder, _attempt, _vectors
 from glyphmill.session import BROADCAST_BYTES, ship
 from glyphmill.sources.vocabulary import Vocabulary
@@ -54,7 +54,7 @@ def register_texts(
     The vectors are those of ``embed``. Workers cut words by a vocabulary they hold, so one beyond ``limit`` bytes is refused.
     """
     ship(spark)
-    ids, special, unknown = shared_ids(vocabulary, limit), vocabulary.special, vocabulary.unk_piece
+    ids, special, unknown = sent_ids(vocabulary, limit), vocabulary.special, vocabulary.unk_piece
     size = batch_size or BATCH_SIZE
 
     class EmbedTexts:

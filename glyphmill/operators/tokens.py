@@ -28,7 +28,7 @@ def lookup_ids(tokens: DataFrame, vocabulary: Vocabulary, column: str = "token",
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(vocabulary.special.unk)))
 
 
-def _in_order(pairs: str | Column) -> Column:
+def in_order(pairs: str | Column) -> Column:
     """The id lists of ``(wpos, ids)`` pairs, joined in word order; two texts under one key are an error."""
     ordered = F.sort_array(pairs)
     once = F.size(F.array_distinct(F.transform(ordered, lambda pair: pair["wpos"]))) == F.size(ordered)
@@ -65,7 +65,7 @@ def _piece_ids(
             F.col("word").isNotNull() & F.col("ids").isNull(), F.raise_error(F.lit("word missing from the lexicon"))
         ).otherwise(F.col("ids"))
         return _pair_list(looked_up.withColumn("ids", ids), keys, "pairs").select(
-            *keys, _in_order("pairs").alias("piece_ids")
+            *keys, in_order("pairs").alias("piece_ids")
         )
     # Only the occurrences of rare words are shuffled, by word and back by text. They are
     # read from the texts as they lie, which costs a second scan but no second shuffle.
@@ -79,7 +79,7 @@ def _piece_ids(
     )
     pairs = _pair_list(looked_up, keys, "pairs").join(_pair_list(found, keys, "rare_pairs"), list(keys), "left_outer")
     both = F.when(F.col("rare_pairs").isNull(), F.col("pairs")).otherwise(F.concat("pairs", "rare_pairs"))
-    return pairs.select(*keys, _in_order(both).alias("piece_ids"))
+    return pairs.select(*keys, in_order(both).alias("piece_ids"))
 
 
 def tokenize(

@@ -468,5 +468,6 @@ ORACLES: dict[str, str] = {
                round(avg(f1_weighted), 6) as f1_weighted, count(*) as experiments from scores""",
     ),
 }
+ORACLES["tokenize_stream"] = ORACLES["tokenize"]
 for _same in ("embed_checked", "embed_distinct", "embed_sql"):
     ORACLES[_same] = ORACLES["embed"]

@@ -22,6 +22,7 @@ from glyphmill.session import settle, shared_folder, spread
 from glyphmill.sinks import files
 from glyphmill.sources import texts as text_sources
 from glyphmill.sources.vocabulary import forward, special_tokens, token_lines
+from glyphmill.streaming import lexicon_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +172,16 @@ def tokenize_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("conv_id", "turn", joined("token_ids").alias("token_ids"))
 
 
+def tokenize_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as a stream of several files, a micro-batch each: words met before are looked up in the stream's state."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    documents = texts(spark, folder)
+    documents.repartition(3, "text_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    lexicon_state.tokenize_stream(stream, vocabulary(spark, folder), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("text_id", joined("token_ids").alias("token_ids"))
+
+
 def token_table(spark: SparkSession, folder: str) -> DataFrame:
     found = tokens.token_table(texts(spark, folder), vocabulary(spark, folder))
     return found.select("text_id", *[F.col(c).cast("bigint").alias(c) for c in ("pos", "token_id")])
@@ -462,7 +473,7 @@ QUERIES: dict[str, Query] = {
         "ascii_lower", "isolate_punct", "collapse_ws", "trim_ends", "preprocess", "words", "preview",
         "split_nul", "split_custom", "split_keep_empty", "delimited_file", "file_to_vectors",
         "vocab_forward", "vocab_reverse", "special_ids", "learnt_vocabulary",
-        "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_conversations",
+        "wordpiece", "token_ids", "tokenize", "tokenize_by_shuffle", "tokenize_stream", "tokenize_conversations",
         "token_table", "token_head", "encode", "attention_mask", "token_types",
         "batch_ids", "batch_sizes", "flat_batch", "detokenize",
         "embed", "embed_sql", "embed_distinct", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",

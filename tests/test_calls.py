@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill import TextModel, embed, model as models
-from glyphmill.functions.pieces import Segmenter, shared_ids
+from glyphmill.functions.pieces import Segmenter, sent_ids
 from glyphmill.functions.text import words, words_of
 from glyphmill.operators.lexicon import count_words, segment
 from glyphmill.operators.table_function import register_texts
@@ -81,7 +81,7 @@ def test_warm_calls_are_fast(spark, small):
 
 def test_segmenter_equals_the_join(spark, small):
     own = fixture.vocabulary(spark, small)
-    pieces = Segmenter(shared_ids(own).value, own.unk_piece)
+    pieces = Segmenter(sent_ids(own).value, own.unk_piece)
     joined = segment(count_words(word_table(fixture.texts(spark, small))), own, named=True).select("word", "pieces").collect()
     assert len(joined) > 5000 and all(pieces(r.word) == tuple(r.pieces) for r in joined)
 
