@@ -40,7 +40,7 @@ WINDOW = 35
 ANCHOR = 12
 PLACES = WINDOW - ANCHOR + 1  # Anchors in a window.
 PACK = 1 << 16  # Words looked at together; a longer text comes in pieces of this size.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 SHARD = 1 << 19  # Words of the passages in an automaton.
 PASSAGE = 1 << 14  # Windows of a passage; a longer one is sent in overlapping parts.
 MOST_BITS = 1 << 27
@@ -175,39 +175,63 @@ _WANTED = pa.schema([("anchor", pa.int64()), ("body", pa.int64()), ("n", pa.int6
 COMPARED = -1  # The part of a body whose windows are compared.
 
 
+class _Reader:
+    """The passages of a text that its wanted bodies make up: bodies that go on into each other are one."""
+
+    def __init__(self, words: list[bytes], wanted: list[dict], out: list[dict]):
+        self.words, self.left, self.out = words, {(w["anchor"], w["body"]): w for w in wanted}, out
+        self.chain: dict | None = None
+
+    def add(self, w: dict, part: int, low: int, windows: int) -> None:
+        joined = b" ".join(self.words[low : low + windows + WINDOW - 1])
+        self.out.append({"anchor": w["anchor"], "body": w["body"], "n": w["n"], "part": part, "words": joined})
+
+    def run(self, anchor: int, body: int, at: int, windows: int) -> None:
+        w, chain = self.left.pop((anchor, body), None), self.chain
+        if w is not None and w["mixed"]:
+            self.add(w, COMPARED, at, windows)
+        if w is None or w["n"] < 2:
+            self.close()
+        elif chain is not None and chain["end"] == at and chain["next"] == body and chain["first"]["n"] == w["n"]:
+            chain |= {"end": at + windows, "next": w["next"]}
+        else:
+            self.close()
+            self.chain = {"first": w, "low": at, "end": at + windows, "next": w["next"]}
+
+    def close(self) -> None:
+        if self.chain is not None:
+            for part, low in enumerate(range(self.chain["low"], self.chain["end"], PASSAGE)):
+                self.add(self.chain["first"], part, low, min(PASSAGE, self.chain["end"] - low))
+        self.chain = None
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the bodies to read from them: passages in parts, and bodies whose windows are compared."""
     for batch in batches:
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            words, left = words_of(text), {(w["anchor"], w["body"]): w for w in wanted}
-            out: list[dict] = []
-            chain: dict | None = None
-
-            def add(w: dict, part: int, low: int, windows: int, words: list[bytes] = words, out: list[dict] = out) -> None:
-                joined = b" ".join(words[low : low + windows + WINDOW - 1])
-                out.append({"anchor": w["anchor"], "body": w["body"], "n": w["n"], "part": part, "words": joined})
-
-            def close() -> None:
-                if chain is not None:
-                    for part, low in enumerate(range(chain["low"], chain["end"], PASSAGE)):
-                        add(chain["first"], part, low, min(PASSAGE, chain["end"] - low))
-
-            for found in runs([words]):
-                for anchor, body, at, windows in zip(*(found[k].tolist() for k in ("anchor", "body", "at", "windows")), strict=True):
-                    w = left.pop((anchor, body), None)
-                    if w is not None and w["mixed"]:
-                        add(w, COMPARED, at, windows)
-                    if w is None or w["n"] < 2:
-                        close()
-                        chain = None
-                    elif chain is not None and chain["end"] == at and chain["next"] == body and chain["first"]["n"] == w["n"]:
-                        chain |= {"end": at + windows, "next": w["next"]}
-                    else:
-                        close()
-                        chain = {"first": w, "low": at, "end": at + windows, "next": w["next"]}
-            close()
+        wanted, out = batch.column("wanted"), []
+        readers: dict[int, _Reader] = {}
+
+        def opened(batch: pa.RecordBatch = batch, wanted: pa.Array = wanted, out: list = out, readers: dict = readers) -> Iterator[list[bytes]]:
+            for number, text in enumerate(batch.column("text").to_pylist()):
+                words = words_of(text)
+                readers[number] = _Reader(words, wanted[number].as_py(), out)
+                yield words
+
+        current = -1
+        for found in runs(opened()):
+            for number, *run in zip(*(found[k].tolist() for k in ("text", "anchor", "body", "at", "windows")), strict=True):
+                if number != current:
+                    for done in [k for k in readers if k < number]:
+                        readers.pop(done).close()
+                    current = number
+                readers[number].run(*run)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_WANTED)
+                out.clear()
+        for reader in readers.values():
+            reader.close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_WANTED)
 
 
 WINDOW_DDL = "id bigint, n bigint, at int, window binary"
@@ -402,6 +426,6 @@ def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     rows = texts.select(_block(blocks).alias("block"), "doc_id", "text", none.cast("binary").alias("words")).unionByName(
         sent(hits, recurring, blocks, total).select("block", none.cast("bigint").alias("doc_id"), none.cast("string").alias("text"), "words")
     )
-    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, blocks // 4)
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, blocks // 16)
     dealt = rows.repartition(tasks, "block").sortWithinPartitions("block", F.col("words").isNotNull())
     return dealt.mapInArrow(_locate, CLEANED_DDL)
