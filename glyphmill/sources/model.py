@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import tempfile
 import uuid
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from glyphmill.session import shared_folder
 
@@ -19,7 +21,7 @@ VOCABULARY_FILE = "vocab.txt"
 DIRECTORY_VARIABLE = "EMBEDDING_MODEL_PATH"
 
 
-_sent: dict[tuple[str, str], str] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def _is_uri(path: str) -> bool:
@@ -38,19 +40,31 @@ def _below(directory: Path | str, name: str) -> Path | str:
     return directory / name if isinstance(directory, Path) else f"{directory}/{name}"
 
 
-def _remote_content(spark: SparkSession, path: str) -> bytes | None:
-    """The bytes of a file that Spark reads (a model is what one process can hold), None if there is none."""
+LARGEST_VALUE = 2**31 - 1 - 64  # Bytes that a column's value can have.
+
+
+def _remote_facts(spark: SparkSession, path: str):
+    """Length and time of a file that Spark reads, None if there is none; its content is not opened."""
     try:
-        return bytes(spark.read.format("binaryFile").load(path).select("content").head().content)
+        return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").head()
     except AnalysisException:
         return None
 
 
+def _remote_digest(spark: SparkSession, path: str) -> str:
+    """A digest taken by an executor: of the content, or of name, length and time if no value can hold the content."""
+    facts = _remote_facts(spark, path)
+    if facts.length > LARGEST_VALUE:
+        return hashlib.sha256(f"{facts.path}|{facts.length}|{facts.modificationTime}".encode()).hexdigest()
+    content = spark.read.format("binaryFile").load(path)
+    return content.select(F.sha2("content", 256).alias("digest")).head().digest
+
+
 def model_file(directory: str | None = None, spark: SparkSession | None = None) -> Path | str:
     """The first model file that exists; URIs need the session."""
     candidates = [_below(model_directory(directory), name) for name in MODEL_FILES]
     for candidate in candidates:
-        if candidate.exists() if isinstance(candidate, Path) else _remote_content(spark, candidate) is not None:
+        if candidate.exists() if isinstance(candidate, Path) else _remote_facts(spark, candidate) is not None:
             return candidate
     raise FileNotFoundError("no model file; looked for " + ", ".join(map(str, candidates)))
 
@@ -71,13 +85,24 @@ def shared_vocabulary(spark: SparkSession, directory: str | None = None) -> str:
 
 
 def send_model(spark: SparkSession, directory: str | None = None) -> str:
-    """Send the model file to all executors under a name of its content; returns what an ``OnnxEncoder`` takes."""
-    path = model_file(directory, spark)
-    content = path.read_bytes() if isinstance(path, Path) else _remote_content(spark, path)
-    sent = (spark.sparkContext.applicationId, hashlib.sha256(content).hexdigest())
-    if sent not in _sent:
-        named = Path(tempfile.mkdtemp(prefix="glyphmill-")) / f"{sent[1][:16]}-{Path(path).name}"
-        named.write_bytes(content)
-        spark.sparkContext.addFile(str(named))
-        _sent[sent] = named.name
-    return _sent[sent]
+    """Make the model file known to all executors under a name of its content; returns what an ``OnnxEncoder`` takes.
+
+    A local file is sent by the driver. A URI is fetched by each executor itself (an archive that cannot be unpacked
+    is a file under the name asked for), so a model's bytes are in no memory of the driver.
+    """
+    path, context = model_file(directory, spark), spark.sparkContext
+    if isinstance(path, Path):
+        with path.open("rb") as file:
+            digest = hashlib.file_digest(file, "sha256").hexdigest()
+    else:
+        digest = _remote_digest(spark, path)
+    name = f"{digest[:16]}-{PurePosixPath(str(path)).name}"
+    if (context.applicationId, name) not in _sent:
+        if isinstance(path, Path):
+            named = Path(tempfile.mkdtemp(prefix="glyphmill-")) / name
+            shutil.copyfile(path, named)
+            context.addFile(str(named))
+        else:
+            context.addArchive(f"{path}#{name}")
+        _sent.add((context.applicationId, name))
+    return name

@@ -150,6 +150,27 @@ def test_onnx(spark, vocabulary_of, tmp_path):
         assert sorted(r.text_id for r in rows) == [0, 1, 2] and all(r.embedding == unit for r in rows)
 
 
+def test_models_behind_uris_do_not_pass_through_the_driver(spark, vocabulary_of, tmp_path, monkeypatch):
+    from glyphmill.sources import model as models
+
+    (tmp_path / "far").mkdir()
+    # Another content than in the other tests, so nothing sent before is used.
+    (tmp_path / "far" / "model.onnx").write_bytes(model() + b"\x72\x00")
+    uri = (tmp_path / "far").as_uri()
+    assert str(models.model_file(uri, spark)).endswith("far/model.onnx")
+    read = []
+    monkeypatch.setattr(models.Path, "open", lambda self, *a: read.append(self))
+    name = send_model(spark, uri)
+    assert name.endswith("-model.onnx") and send_model(spark, uri) == name and read == []
+    rows = embed(from_strings(spark, ["ab d", ""]), vocabulary_of(TOKENS), OnnxEncoder(name)).collect()
+    assert len(rows) == 2 and all(len(r.embedding) == 2 for r in rows)
+    monkeypatch.setattr(models, "LARGEST_VALUE", 3)
+    other = send_model(spark, uri)  # too large for a value: named by path, length and time
+    assert other != name and len(embed(from_strings(spark, "ab"), vocabulary_of(TOKENS), OnnxEncoder(other)).collect()) == 1
+    with pytest.raises(FileNotFoundError):
+        models.model_file((tmp_path / "none").as_uri(), spark)
+
+
 def test_text_model(spark, tmp_path):
     (tmp_path / "onnx").mkdir()
     (tmp_path / "onnx" / "model.onnx").write_bytes(model())
