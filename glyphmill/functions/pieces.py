@@ -1,7 +1,6 @@
-"""Word pieces of single words, for places that no join can reach: table functions and state of streams.
+"""Word pieces of single words, from a vocabulary that a Python worker holds.
 
-Tables of texts are segmented by joins (``operators.lexicon``); this gives the same pieces from a
-vocabulary that a Python worker holds. Words met before are remembered, up to a bound.
+For vocabularies of a usual size; ``operators.lexicon`` segments by joins beyond it.
 """
 
 from __future__ import annotations
@@ -18,11 +17,13 @@ from pyspark import SparkFiles
 
 from glyphmill.functions.ids import MAX_LENGTH
 from glyphmill.functions.text import words_of
-from glyphmill.operators.lexicon import PIECE_BYTES
-from glyphmill.session import BROADCAST_BYTES
-from glyphmill.sources.vocabulary import INNER, SpecialTokens, Vocabulary
+from glyphmill.sources.vocabulary import INNER, UNK, SpecialTokens, Vocabulary
+
+# Fixed value: the longest text of a piece.
+PIECE_BYTES = 20
 
 REMEMBERED = 1 << 16
+WORKER_BYTES = 32 * 1024 * 1024  # A vocabulary that every Python worker may hold, some half a million tokens.
 
 
 @lru_cache(maxsize=2)
@@ -48,7 +49,7 @@ class SentIds:
 _sent: set[tuple[str, str]] = set()
 
 
-def sent_ids(vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> SentIds:
+def sent_ids(vocabulary: Vocabulary, limit: int = WORKER_BYTES) -> SentIds:
     """Send the forward table once per application, under a name of its content; beyond ``limit`` bytes it is refused."""
     if vocabulary.bytes > limit:
         raise ValueError(f"a vocabulary of {vocabulary.bytes} bytes is too large to send to every worker; use embed()")
@@ -65,32 +66,34 @@ def sent_ids(vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> SentIds:
 
 
 class Segmenter:
-    """``segmenter(word)``: the ids of its pieces."""
+    """``segmenter(word)``: the ids of its pieces; words met before are remembered, up to a bound."""
 
     def __init__(self, ids: dict[str, int], unknown: int, remembered: int = REMEMBERED):
-        self.ids, self.unknown = ids, unknown
-        self.calls = 0
-        self._remembered = lru_cache(remembered)(self._segment)
+        self.known, self.unknown = ids, unknown
+        self._remembered = lru_cache(remembered)(self.ids)
 
     def __call__(self, word: str) -> tuple[int, ...]:
         return self._remembered(word)
 
-    def _segment(self, word: str) -> tuple[int, ...]:
-        self.calls += 1
-        if word in self.ids:
-            return (self.ids[word],)
-        found, start = [], 0
+    def tokens(self, word: str) -> list[str]:
+        """The pieces of a word: itself, or the longest entries that continue each other, ``[UNK]`` where none does."""
+        if word in self.known:
+            return [word]
+        found, start, plain = [], 0, word.isascii()
         while start < len(word):
             mark = INNER if start else ""
             for end in range(min(len(word), start + PIECE_BYTES), start, -1):
-                piece = word[start:end]
-                if len(piece.encode()) <= PIECE_BYTES and mark + piece in self.ids:
-                    found.append(self.ids[mark + piece])
-                    start = end
+                piece = mark + word[start:end]
+                if piece in self.known and (plain or len(piece.encode()) - len(mark) <= PIECE_BYTES):
                     break
             else:
-                return (*found, self.unknown)
-        return tuple(found)
+                return [*found, UNK]
+            found.append(piece)
+            start = end
+        return found
+
+    def ids(self, word: str) -> tuple[int, ...]:
+        return tuple([self.known.get(token, self.unknown) for token in self.tokens(word)])
 
 
 def model_sequence(text: str | None, pieces: Segmenter, special: SpecialTokens, length: int = MAX_LENGTH) -> list[int]:

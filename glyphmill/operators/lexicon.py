@@ -5,27 +5,26 @@ from the left into the longest vocabulary entries of at most 20 bytes, entries
 after the first being those that carry the ``##`` mark; where nothing fits, the
 piece ``[UNK]`` ends the word and the pieces found before it stay.
 
-As a Spark job: every substring that could be a piece becomes a row, one join
-finds those in the vocabulary, and a fold over the matches of a word, sorted by
-start and longest first, keeps the ones that continue each other. Its cost
-follows the number of distinct words, not the size of the corpus.
+A vocabulary of a usual size is held by the workers, and each distinct word is cut there, in Arrow batches. With
+a larger one every substring that could be a piece becomes a row, one join finds those in the
+vocabulary, and a fold over the matches of a word, sorted by start and longest first, keeps the ones that
+continue each other. Either way the cost follows the number of distinct words, not the size of the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.pieces import PIECE_BYTES, WORKER_BYTES, Segmenter, sent_ids
 from glyphmill.operators.words import word_key, word_table
-from glyphmill.session import BROADCAST_BYTES, settle_measured
+from glyphmill.session import BROADCAST_BYTES, settle_measured, ship
 from glyphmill.sources.vocabulary import INNER, UNK, Vocabulary
 
-# Fixed value: the longest text of a piece.
-PIECE_BYTES = 20
-
 # A long word is cut into blocks of starts, so that taking a substring never
 # walks the whole word, and its matches are folded in runs, so that a step never
 # copies all pieces found so far.
@@ -59,6 +58,22 @@ def _follow(matches: Column, value_type: str) -> Column:
     return F.aggregate(runs, state(F.lit(1), F.array().cast(f"array<array<{value_type}>>")), add_run)
 
 
+def _segment_in_workers(distinct: DataFrame, vocabulary: Vocabulary, value: str, named: bool) -> DataFrame:
+    """``segment`` with the vocabulary in the workers."""
+    ship(distinct.sparkSession)
+    sent, unknown = sent_ids(vocabulary), vocabulary.unk_piece
+    kind, of = {"token_id": (pa.int32(), Segmenter.ids), "token": (pa.string(), Segmenter.tokens)}[value]
+
+    @F.arrow_udf(f"array<{'int' if value == 'token_id' else 'string'}>")
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        segmenter = Segmenter(sent.value, unknown)
+        for batch in batches:
+            yield pa.array([of(segmenter, word) for word in batch.to_pylist()], pa.list_(kind))
+
+    key = word_key(F.col("word")).alias("word_key")
+    return distinct.select(key, *(["word"] if named else []), "n", pieces("word").alias("pieces"))
+
+
 def segment(
     distinct: DataFrame,
     vocabulary: Vocabulary,
@@ -69,8 +84,11 @@ def segment(
     """Pieces of distinct words: ``(word, n)`` to ``(word_key, n, pieces)``.
 
     ``value`` picks what a piece is given as: its ``token_id`` or its ``token``. ``named``
-    adds the word itself, which for long words is not its key.
+    adds the word itself, which for long words is not its key. A vocabulary beyond ``limit``, or too large for
+    every worker to hold, is joined.
     """
+    if vocabulary.bytes <= min(limit, WORKER_BYTES):
+        return _segment_in_workers(distinct, vocabulary, value, named)
     value_type, unknown = {
         "token_id": ("int", F.lit(vocabulary.unk_piece)),
         "token": ("string", F.lit(UNK)),

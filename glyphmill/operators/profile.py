@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import profile
+from glyphmill.operators.embed import Encoder, embed
+from glyphmill.operators.lexicon import Lexicon
 from glyphmill.session import settle_measured
 from glyphmill.sources.vocabulary import Vocabulary
 
@@ -54,3 +59,25 @@ def counted_run(
 def run_counts(texts: DataFrame, embedded: DataFrame, vocabulary: Vocabulary, column: str = "embedding") -> DataFrame:
     """The counts of ``counted_run`` alone."""
     return counted_run(texts, embedded, vocabulary, column)[1]
+
+
+# Texts per model call whose throughput is compared.
+CALL_SIZES = (1, 2, 8)
+
+
+def throughput(
+    texts: DataFrame, vocabulary: Vocabulary, encoder: Encoder, lexicon: Lexicon, sizes: Sequence[int] = CALL_SIZES, **options
+) -> DataFrame:
+    """``(batch_size, texts, vectors, seconds, texts_per_second)``: a whole table embedded once with each batch size.
+
+    The vectors are counted as they leave the model and not kept.
+    """
+    rows = []
+    for size in sizes:
+        start = time.perf_counter()
+        vectors = embed(texts, vocabulary, encoder, lexicon, batch_size=size, **options)
+        texts_, found = vectors.agg(F.count(F.lit(1)), F.count("embedding")).head()
+        seconds = time.perf_counter() - start
+        rows.append((size, texts_, found, seconds, texts_ / seconds))
+    schema = "batch_size int, texts bigint, vectors bigint, seconds double, texts_per_second double"
+    return texts.sparkSession.createDataFrame(rows, schema)

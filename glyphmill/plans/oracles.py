@@ -412,6 +412,11 @@ ORACLES: dict[str, str] = {
     "text_sink": f"""
         select row_number() over (order by vec_id) - 1 as place, {_g('embedding::double[]')} as line, 'ok' as status,
                len(embedding) as dimension from embeddings""",
+    "parquet_sink": """
+        select vec_id, label::bigint as label, unnest(range(len(embedding))) as pos, unnest(embedding)::double as value from embeddings""",
+    "throughput": """
+        select unnest([1, 2, 8])::int as batch_size, (select count(*) from documents) as texts,
+               (select count(*) from documents) as vectors, true as measured""",
     "cardinality": _chain(
         LINE_SIDES,
         last="""

@@ -355,6 +355,22 @@ def text_sink(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def parquet_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as Parquet, a folder per label, and back without loss."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    files.write_parquet(_vectors(spark, folder), path, "label")
+    read = files.read_parquet(spark, path)
+    rows = read.select("vec_id", F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("pos", "value"))
+    return rows.select("vec_id", "label", F.col("pos").cast("bigint").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
+def throughput(spark: SparkSession, folder: str) -> DataFrame:
+    """Embedding with 1, 2 and 8 texts per model call; the seconds are a measurement, so only their sign is a result."""
+    corpus, known = texts(spark, folder), vocabulary(spark, folder)
+    measured = profile.throughput(corpus, known, MixingEncoder(), lexicon.build_lexicon(corpus, known, max_words=I.MAX_LENGTH - 1))
+    return measured.select("batch_size", "texts", "vectors", (F.col("seconds") > 0).alias("measured"))
+
+
 def cardinality(spark: SparkSession, folder: str) -> DataFrame:
     """The parts of documents between letters e against those that are kept: empty ones get no vector."""
     sides = _line_sides(spark, folder)
@@ -477,7 +493,7 @@ QUERIES: dict[str, Query] = {
         "token_table", "token_head", "encode", "attention_mask", "token_types",
         "batch_ids", "batch_sizes", "flat_batch", "detokenize",
         "embed", "embed_sql", "embed_distinct", "embed_checked", "embed_quarantine", "embed_conversations", "run_counts",
-        "l2_normalize", "bad_vectors", "bad_lines", "parse_embeddings", "format_embeddings", "text_sink",
+        "l2_normalize", "bad_vectors", "bad_lines", "parse_embeddings", "format_embeddings", "text_sink", "parquet_sink", "throughput",
         "cardinality", "unpaired", "embedding_profile", "table_profile", "cosine",
         "few_shot", "nearest_centroid", "linear_probe", "linear_probe_facts", "probe_scores", "label_scores",
         "accuracy", "macro_f1", "weighted_f1", "score_summary", "score_report",

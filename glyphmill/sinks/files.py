@@ -26,6 +26,10 @@ def write_parquet(vectors: DataFrame, path: str, *partitions: str) -> None:
     vectors.write.partitionBy(*partitions).parquet(path)
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_bucketed(texts: DataFrame, table: str, buckets: int, *keys: str) -> None:
     """A table bucketed by its keys: tokenising it needs no shuffle of the texts."""
     texts.write.bucketBy(buckets, *keys).saveAsTable(table)

@@ -7,6 +7,7 @@ import pytest
 
 from glyphmill.operators.lexicon import BLOCK, RUN, segment
 from glyphmill.operators.words import KEY_BYTES, word_key
+from glyphmill.session import BROADCAST_BYTES
 from pyspark.sql import functions as F
 
 
@@ -57,7 +58,9 @@ def pieces_of(spark, vocabulary, words, **options):
     ],
 )
 def test_cases(spark, vocabulary_of, tokens, word, pieces):
-    assert pieces_of(spark, vocabulary_of(tokens), [word]) == {word: pieces}
+    vocabulary = vocabulary_of(tokens)
+    for limit in (0, BROADCAST_BYTES):  # by joins, and in the workers
+        assert pieces_of(spark, vocabulary, [word], limit=limit) == {word: pieces}
     assert expected(word, set(tokens)) == pieces
 
 
@@ -76,17 +79,19 @@ def test_random_words(spark, vocabulary_of, seed):
         assert pieces_of(spark, own, words, limit=limit) == found
 
 
-def test_long_words(spark, vocabulary_of):
+@pytest.mark.parametrize("limit", [0, BROADCAST_BYTES])
+def test_long_words(spark, vocabulary_of, limit):
     """Words over the width of a key, of a block and of a run of pieces."""
     tokens = ["ab", "##ab", "##a", "##b", "é", "##é"]
     words = ["ab" * (KEY_BYTES // 2), "ab" * KEY_BYTES, "ab" * (BLOCK + 3), "é" * (2 * BLOCK + 5), "ab" * (3 * RUN) + "z"]
-    found = pieces_of(spark, vocabulary_of(tokens), words)
+    found = pieces_of(spark, vocabulary_of(tokens), words, limit=limit)
     assert found == {word: expected(word, set(tokens)) for word in words}
 
 
-def test_very_long_word(spark, vocabulary_of):
+@pytest.mark.parametrize("limit", [0, BROADCAST_BYTES])
+def test_very_long_word(spark, vocabulary_of, limit):
     word = "abcdefgh" * 25_000
-    found = pieces_of(spark, vocabulary_of(["ab", "##cd", "##ef", "##gh", "##ab"]), [word])
+    found = pieces_of(spark, vocabulary_of(["ab", "##cd", "##ef", "##gh", "##ab"]), [word], limit=limit)
     assert len(found[word]) == 100_000 and found[word][-1] == "##gh"
 
 
