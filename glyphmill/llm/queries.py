@@ -78,11 +78,11 @@ TARGETS = {
 
 
 def domains(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, domain`` of the labelled documents: language and quality."""
+    """``doc_id, domain`` of the labelled documents: language and quality; without a language there is no domain."""
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     quality = F.when(F.col("quality") > 0, "good").otherwise("poor")
     joined = documents.select("doc_id", "lang").distinct().join(known, "doc_id")
-    return joined.select("doc_id", F.concat_ws("-", "lang", quality).alias("domain"))
+    return joined.select("doc_id", F.concat("lang", F.lit("-"), quality).alias("domain"))
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,14 +5,18 @@ features are the hashed n-grams of 3, 4 and 5 bytes, present or absent. From the
 labelled texts every feature gets ``log((p / |p|) / (q / |q|))`` with ``p`` and
 ``q`` the texts of either label that have it, plus one; the features that tell
 the labels apart best are kept, scaled by that ratio, and a logistic regression
-is fitted on them.
+is fitted on them. (``|p|`` and ``|q|`` are numbers of texts, the measure of features that are present or absent.)
 
-Bound: at most ``sample_rows`` labelled rows are used to fit, those with the smallest
-hash of their id. Scoring reads every whole text; the model it broadcasts has a
+The fit is a few dozen quasi-Newton steps; each is one pass over the settled features of the sample, in which every
+task adds up the loss and gradient of its rows. The driver holds vectors of ``SELECTED`` numbers only.
+
+Bound: at most ``sample_rows`` labelled rows are used to fit, one text for each of the ids with the smallest
+hashes (of several texts of an id that with the smallest hash). Scoring reads every whole text; the model it broadcasts has a
 fixed size (``DIMENSIONS`` numbers).
 
 Defined cases: a null text is an empty one; a row without a label is not used to
-fit; several labels of one id count as their largest; without rows of both
+fit; several labels of one id count as their largest; repeated rows are one; among features that tell the labels apart
+equally well the smaller number counts; without rows of both
 labels every score is 0. A null id is never held out.
 """
 
@@ -36,7 +40,9 @@ SAMPLE_ROWS = 20_000
 SELECTED = 8192
 LEAST_TEXTS = 4  # Features in fewer labelled texts are not kept.
 FIT_TASKS = 8
-STEPS = 400
+STEPS = 60  # Quasi-Newton steps at most; they end sooner when the slope is below ``FLAT``.
+MEMORY = 10  # Steps whose curvature is remembered.
+FLAT = 1e-5
 PENALTY = 1e-4
 THRESHOLD = 0.7
 CHUNK = 1 << 20
@@ -108,9 +114,10 @@ def labelled_sample(
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna()
     known = known.groupBy("key").agg(F.max("label").alias("label")).filter(~held_out(F.col("key")))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
-    # The bound on the rows is the bound on what is broadcast.
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return settle(rows.join(F.broadcast(chosen), "key").select("label", "text").repartition(FIT_TASKS), "labelled")
+    # The bound on the rows is the bound on what is broadcast. An id in many rows is thinned before the shuffle.
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    one = rows.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
+    return settle(one.select("label", "first.text").repartition(FIT_TASKS, "text"), "labelled")
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,29 +149,67 @@ def select(positive: np.ndarray, negative: np.ndarray, positives: int, negatives
     return np.sort(best[strength[best] > 0])
 
 
-def fit_weights(rows: list[tuple[int, np.ndarray]], scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps; ``rows`` are labels and feature numbers."""
-    y = np.array([label > 0 for label, _ in rows], np.float64)
-    lengths = np.array([len(found) for _, found in rows])
-    column = np.concatenate([found for _, found in rows]) if len(rows) else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    value = scale[column]
-    # The squared norm of the rows bounds the curvature.
-    bound = np.bincount(row, value * value, len(rows)).mean() + 1.0
-    step = 4.0 / bound
-    weights, intercept = np.zeros(len(scale)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    ahead, ahead_intercept, momentum = weights, intercept, 1.0
+def losses(rows: DataFrame, scale: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """The summed log loss of rows ``label, found`` at ``weights`` (the last is the intercept), and its gradient."""
+    shared = rows.sparkSession.sparkContext.broadcast((scale, weights))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scale, weights = shared.value
+        loss, gradient = 0.0, np.zeros(len(weights))
+        scaled = scale * weights[:-1]
+        for frame in frames:
+            found = [np.frombuffer(value, np.uint16) for value in frame["found"]]
+            column, lengths = np.concatenate(found), np.array([len(value) for value in found])
+            row = np.repeat(np.arange(len(found)), lengths)
+            margin = np.bincount(row, scaled[column], len(found)) + weights[-1]
+            sign = np.where(frame["label"].to_numpy() > 0, -1.0, 1.0)
+            loss += np.logaddexp(0.0, sign * margin).sum()
+            error = sign / (1 + np.exp(np.clip(-sign * margin, -500, 500)))
+            gradient[:-1] += np.bincount(column, error[row], len(scale)) * scale
+            gradient[-1] += error.sum()
+        yield pd.DataFrame({"loss": [loss], "gradient": [gradient.tobytes()]})
+
+    parts = rows.mapInPandas(sums, "loss double, gradient binary").orderBy("loss", "gradient").collect()  # FIT_TASKS rows
+    return sum(r.loss for r in parts), np.sum([np.frombuffer(r.gradient) for r in parts], axis=0)
+
+
+def fit_weights(rows: DataFrame, count: int, positives: int, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on ``count`` rows by quasi-Newton steps (limited memory, halved until the loss falls enough)."""
+
+    def measured(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, gradient = losses(rows, scale, weights)
+        shrunk = np.append(weights[:-1], 0.0)
+        return loss / count + PENALTY / 2 * shrunk @ shrunk, gradient / count + PENALTY * shrunk
+
+    weights = np.zeros(len(scale) + 1)
+    weights[-1] = np.log((positives + 1) / (count - positives + 1))
+    loss, slope = measured(weights)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(STEPS):
-        margin = np.bincount(row, value * ahead[column], len(rows)) + ahead_intercept
-        error = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
-        gradient = np.bincount(column, value * error[row], len(scale)) / len(rows) + PENALTY * ahead
-        after, after_intercept = ahead - step * gradient, ahead_intercept - step * error.mean()
-        following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        pull = (momentum - 1) / following
-        ahead = after + pull * (after - weights)
-        ahead_intercept = after_intercept + pull * (after_intercept - intercept)
-        weights, intercept, momentum = after, after_intercept, following
-    return weights, float(intercept)
+        if np.abs(slope).max() <= FLAT:
+            break
+        direction, kept = -slope, []
+        for move, change in reversed(moves):
+            share = move @ direction / (change @ move)
+            kept.append(share)
+            direction = direction - share * change
+        direction = direction * (moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1.0)
+        for (move, change), share in zip(moves, reversed(kept), strict=True):
+            direction = direction + (share - change @ direction / (change @ move)) * move
+        fall, size = slope @ direction, 1.0
+        while True:
+            after = weights + size * direction
+            lower, following = measured(after)
+            if lower <= loss + 1e-4 * size * fall or size < 1e-6:
+                break
+            size /= 2
+        move, change = after - weights, following - slope
+        if change @ move > 1e-12:
+            moves = [*moves[-(MEMORY - 1) :], (move, change)]
+        if not lower < loss:
+            break
+        weights, loss, slope = after, lower, following
+    return weights[:-1], float(weights[-1])
 
 
 def fit(
@@ -175,7 +220,7 @@ def fit(
     label: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Learn from the labelled rows; what reaches the driver is bounded by ``sample_rows`` and ``DIMENSIONS``."""
+    """Learn from the labelled rows; what reaches the driver is bounded by ``DIMENSIONS`` and ``FIT_TASKS``."""
     ship(documents.sparkSession)
     sample = labelled_sample(documents, labels, key, text, label, sample_rows)
     schema = "negative binary, positive binary, negatives bigint, positives bigint"
@@ -194,12 +239,12 @@ def fit(
     def active(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = number >= 0
         for frame in frames:
-            found = [number[present(value, wanted)].tobytes() for value in frame["text"]]
+            found = [number[present(value, wanted)].astype(np.uint16).tobytes() for value in frame["text"]]
             yield pd.DataFrame({"label": frame["label"], "found": found})
 
-    rows = [(r.label, np.frombuffer(r.found, np.int32)) for r in sample.mapInPandas(active, "label int, found binary").collect()]
+    rows = settle(sample.mapInPandas(active, "label int, found binary"), "features").coalesce(FIT_TASKS)
     ratios = log_ratios(positive, negative, positives, negatives)[chosen]
-    fitted, intercept = fit_weights(rows, ratios)
+    fitted, intercept = fit_weights(rows, positives + negatives, positives, ratios)
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[chosen] = fitted * ratios
     return Model(weights, intercept)
