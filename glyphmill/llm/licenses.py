@@ -3,14 +3,15 @@
 A text is lower-cased (A-Z) and read as words, runs of digits, letters and non-ASCII
 characters. Rules are regular expressions over the words joined by blanks: every
 license family is written in every form of notice. A text is looked at only if it holds
-a word that any notice needs, and a rule only if its family's keyword occurs. What is
+a word that any notice needs, and a rule only if one of its family's keywords occurs. What is
 found is an interval of words; an interval inside another one is suppressed if
 the other's rule comes first in priority, or has the same and is longer (then:
 the earlier rule). Base phrases are matched besides and are never suppressed.
 
 Everything is a DataFrame expression, per text, without a shuffle. Defined cases:
-a null text is an empty one, without words and labels; places of one phrase are
-counted each; rows are taken as they come.
+a null text is an empty one, without words and labels; texts of any length are read whole; places of one phrase are
+counted each; of detections of one interval and priority that of the earlier rule stays; rows are taken as they
+come, repeated ones alike; columns named like the added ones give way to them; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,64 +26,75 @@ from glyphmill.functions.text import ascii_lower
 # Phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# What separates words in lower-cased text, and the words of text in either case.
+# What separates words in lower-cased text.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-# Families: label, keyword, name as a pattern over words.
+# What the keyword filter looks for: alternatives of which a text that holds the family's name holds one.
+GPL, LGPL, AGPL = (" gpl", "general public"), (" lgpl", "lesser general public", "library general public"), (" agpl", "affero general public")
+GFDL, MPL, EPL = (" gfdl", " fdl", "free documentation"), (" mpl", "mozilla public"), (" epl", "eclipse public")
+CC = ("creative commons", " cc by", " cc attribution")
+
+# Families: label, keywords, name as a pattern over words.
 FAMILIES = [
-    ("mit", "mit", "mit"),
-    ("mit-0", "mit", "mit (?:0|no attribution)"),
-    ("apache-2", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?1 1"),
-    ("bsd-2", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
-    ("bsd-3", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
-    ("bsd-4", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("bsd", "bsd", "bsd"),
-    ("gpl-1", "1", "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?1(?: 0)?(?: or later)?"),
-    ("gpl-2", "2", "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?2(?: 0)?(?: or later)?"),
-    ("gpl-3", "3", "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?3(?: 0)?(?: or later)?"),
-    ("gpl", "g", "(?:gnu )?(?:gpl|general public licen[sc]e)"),
-    ("lgpl-2.1", "2", "(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[sc]e)(?: version| v)? ?2(?: 1| 0)?"),
-    ("lgpl-3", "3", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: version| v)? ?3(?: 0)?"),
-    ("lgpl", "l", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)"),
-    ("agpl-3", "3", "(?:gnu )?(?:agpl|affero general public licen[sc]e)(?: version| v)? ?3(?: 0)?"),
-    ("agpl", "a", "(?:gnu )?(?:agpl|affero general public licen[sc]e)"),
-    ("gfdl-1", "f", "(?:gnu )?(?:gfdl|fdl|free documentation licen[sc]e)(?: version| v)? ?1 [123]"),
-    ("gfdl", "f", "(?:gnu )?(?:gfdl|fdl|free documentation licen[sc]e)"),
-    ("mpl-1", "m", "(?:mpl|mozilla public licen[sc]e)(?: version| v)? ?1 [01]"),
-    ("mpl-2", "m", "(?:mpl|mozilla public licen[sc]e)(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "e", "(?:epl|eclipse public licen[sc]e)(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "e", "(?:epl|eclipse public licen[sc]e)(?: version| v)? ?2(?: 0)?"),
-    ("eupl", "e", "(?:eupl|european union public licen[sc]e)(?: version| v)?(?: 1 [012])?"),
-    ("cddl-1", "c", "(?:cddl|common development and distribution licen[sc]e)(?: version| v)?(?: 1 [01])?"),
-    ("cpl-1", "c", "common public licen[sc]e(?: version| v)?(?: 1(?: 0)?)?"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("boost-1", "boost", "boost(?: software)?(?: licen[sc]e)?(?: version| v)?(?: 1 0)?"),
-    ("artistic-1", "artistic", "artistic(?: licen[sc]e)?(?: version| v)? ?1(?: 0)?"),
-    ("artistic-2", "artistic", "artistic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
-    ("python-2", "python", "python(?: software foundation)?"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("ofl-1.1", "o", "(?:ofl|(?:sil )?open font licen[sc]e)(?: version| v)?(?: 1 1)?"),
-    ("odbl-1", "o", "(?:odbl|open database licen[sc]e)(?: version| v)?(?: 1 0)?"),
-    ("odc-by", "odc", "odc by(?: 1 0)?"),
-    ("cc0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "c", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "c", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
-    ("cc-by-nc", "c", "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial)(?: [1-4] [05])?"),
-    ("cc-by-nd", "c", "(?:creative commons|cc) (?:by|attribution) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
-    ("cc-by-sa", "c", "(?:creative commons|cc) (?:by|attribution) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
-    ("cc-by", "c", "(?:creative commons|cc) (?:by|attribution)(?: [1-4] [05])?"),
-    ("ms-pl", "m", "(?:ms pl|microsoft public licen[sc]e)"),
-    ("elastic-2", "elastic", "elastic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
-    ("bsl-1.1", "business", "business source(?: licen[sc]e)?(?: version| v)?(?: 1 1)?"),
-    ("proprietary", "proprietary", "proprietary"),
+    ("mit", (" mit ",), "mit"),
+    ("mit-0", (" mit ",), "mit (?:0|no attribution)"),
+    ("apache-2", (" apache",), "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-1.1", (" apache",), "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?1 1"),
+    ("bsd-2", ("bsd ",), "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-3", ("bsd ",), "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
+    ("bsd-4", ("bsd ",), "(?:bsd 4 clause|4 clause bsd|original bsd)"),
+    ("bsd", (" bsd ",), "bsd"),
+    ("gpl-1", GPL, "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?1(?: 0)?(?: or later)?"),
+    ("gpl-2", GPL, "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?2(?: 0)?(?: or later)?"),
+    ("gpl-3", GPL, "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?3(?: 0)?(?: or later)?"),
+    ("gpl", GPL, "(?:gnu )?(?:gpl|general public licen[sc]e)"),
+    ("lgpl-2.1", LGPL, "(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[sc]e)(?: version| v)? ?2(?: 1| 0)?"),
+    ("lgpl-3", LGPL, "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: version| v)? ?3(?: 0)?"),
+    ("lgpl", LGPL, "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)"),
+    ("agpl-3", AGPL, "(?:gnu )?(?:agpl|affero general public licen[sc]e)(?: version| v)? ?3(?: 0)?"),
+    ("agpl", AGPL, "(?:gnu )?(?:agpl|affero general public licen[sc]e)"),
+    ("gfdl-1", GFDL, "(?:gnu )?(?:gfdl|fdl|free documentation licen[sc]e)(?: version| v)? ?1 [123]"),
+    ("gfdl", GFDL, "(?:gnu )?(?:gfdl|fdl|free documentation licen[sc]e)"),
+    ("mpl-1", MPL, "(?:mpl|mozilla public licen[sc]e)(?: version| v)? ?1 [01]"),
+    ("mpl-2", MPL, "(?:mpl|mozilla public licen[sc]e)(?: version| v)? ?2(?: 0)?"),
+    ("epl-1", EPL, "(?:epl|eclipse public licen[sc]e)(?: version| v)? ?1(?: 0)?"),
+    ("epl-2", EPL, "(?:epl|eclipse public licen[sc]e)(?: version| v)? ?2(?: 0)?"),
+    ("eupl", (" eupl", "european union public"), "(?:eupl|european union public licen[sc]e)(?: version| v)?(?: 1 [012])?"),
+    ("cddl-1", (" cddl", "common development and"), "(?:cddl|common development and distribution licen[sc]e)(?: version| v)?(?: 1 [01])?"),
+    ("cpl-1", ("common public",), "common public licen[sc]e(?: version| v)?(?: 1(?: 0)?)?"),
+    ("isc", (" isc ",), "isc"),
+    ("zlib", (" zlib ",), "zlib(?: libpng)?"),
+    ("boost-1", (" boost",), "boost(?: software)?(?: licen[sc]e)?(?: version| v)?(?: 1 0)?"),
+    ("artistic-1", (" artistic",), "artistic(?: licen[sc]e)?(?: version| v)? ?1(?: 0)?"),
+    ("artistic-2", (" artistic",), "artistic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("python-2", (" python ",), "python(?: software foundation)?"),
+    ("postgresql", (" postgresql ",), "postgresql"),
+    ("openssl", (" openssl ",), "openssl"),
+    ("unlicense", (" unlicense ",), "unlicense"),
+    ("wtfpl", (" wtfpl ",), "wtfpl"),
+    ("ofl-1.1", (" ofl", "open font"), "(?:ofl|(?:sil )?open font licen[sc]e)(?: version| v)?(?: 1 1)?"),
+    ("odbl-1", (" odbl", "open database"), "(?:odbl|open database licen[sc]e)(?: version| v)?(?: 1 0)?"),
+    ("odc-by", (" odc by",), "odc by(?: 1 0)?"),
+    ("cc0", ("cc0",), "(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
+    ("cc-by-nc-nd", CC, "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", CC, "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
+    ("cc-by-nc", CC, "(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial)(?: [1-4] [05])?"),
+    ("cc-by-nd", CC, "(?:creative commons|cc) (?:by|attribution) (?:nd|noderivatives|no derivatives)(?: [1-4] [05])?"),
+    ("cc-by-sa", CC, "(?:creative commons|cc) (?:by|attribution) (?:sa|sharealike|share alike)(?: [1-4] [05])?"),
+    ("cc-by", CC, "(?:creative commons|cc) (?:by|attribution)(?: [1-4] [05])?"),
+    ("ms-pl", (" ms pl ", "microsoft public"), "(?:ms pl|microsoft public licen[sc]e)"),
+    ("elastic-2", (" elastic",), "elastic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("bsl-1.1", (" business source",), "business source(?: licen[sc]e)?(?: version| v)?(?: 1 1)?"),
+    ("proprietary", (" proprietary ",), "proprietary"),
 ]
 
+# Names whose words are also ordinary ones: alone they count only with a version or the word for license.
+STRICT = {
+    "boost-1": "boost software licen[sc]e(?: version| v)?(?: 1 0)?",
+    "bsl-1.1": "business source licen[sc]e(?: version| v)?(?: 1 1)?",
+    "cc-by": "(?:creative commons|cc) (?:by|attribution) (?:[1-4] [05]|licen[sc]e)",
+}
+
 # Forms of a notice in order of priority: name, pattern around the family's name, confidence.
 FORMS = [
     ("identifier", "spdx licen[sc]e identifier {name}", 1.0),
@@ -99,12 +111,12 @@ ALONE = ("alone", "{name}", 0.4)
 BASE_SCORE = 0.9
 
 RULES = [
-    (number, label, keyword, f"(?<= ){form.format(name=name)}(?= )", priority, weight)
-    for number, (priority, (_, form, weight), (label, keyword, name)) in enumerate(
-        (p, f, family)
+    (number, label, keywords, f"(?<= ){form.format(name=name)}(?= )", priority, weight)
+    for number, (priority, (_, form, weight), (label, keywords, name)) in enumerate(
+        (p, f, (label, keywords, STRICT.get(label, name) if f is ALONE else name))
         for p, f in enumerate([*FORMS, ALONE])
-        for family in FAMILIES
-        if f is not ALONE or "licen" in family[2] or family[0].startswith("cc")
+        for label, keywords, name in FAMILIES
+        if f is not ALONE or "licen" in name or label.startswith("cc")
     )
 ]
 
@@ -143,14 +155,30 @@ def _stated(words: Column, phrase: str, label: str) -> Column:
     return F.transform(found, lambda p: F.struct(p["start"].alias("start"), F.lit(label).alias("label")))
 
 
-def _rules() -> Column:
-    names = ("id", "label", "keyword", "pattern", "priority", "weight")
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(rule, names, strict=True)]) for rule in RULES])
+def _families() -> Column:
+    """The rules by family: ``keywords`` and ``rules``."""
+    names = ("id", "label", "pattern", "priority", "weight")
+
+    def literal(rule: tuple) -> Column:
+        number, label, _, pattern, priority, weight = rule
+        return F.struct(*[F.lit(v).alias(n) for v, n in zip((number, label, pattern, priority, weight), names, strict=True)])
+
+    return F.array(
+        *[
+            F.struct(
+                F.array(*[F.lit(word) for word in keywords]).alias("keywords"),
+                F.array(*[literal(rule) for rule in RULES if rule[1] == label]).alias("rules"),
+            )
+            for label, keywords, _ in FAMILIES
+        ]
+    )
 
 
 def detections(words: Column) -> Column:
-    """All intervals that rules find, before suppression."""
-    live = F.filter(_rules(), lambda r: words.contains(r["keyword"]) & F.rlike(words, r["pattern"]))
+    """All intervals that rules find, before suppression; only rules of families with a keyword in the text are tried."""
+    named = F.filter(_families(), lambda f: F.exists(f["keywords"], lambda word: words.contains(word)))
+    rules = F.flatten(F.transform(named, lambda f: f["rules"]))
+    live = F.array_sort(F.filter(rules, lambda r: F.rlike(words, r["pattern"])))
 
     def of(rule: Column) -> Column:
         return F.transform(
@@ -178,8 +206,9 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with ``n_words, base`` (start, label), ``found`` (kept detections), ``score``."""
     value = F.coalesce(F.col(text), F.lit(""))
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(value), BETWEEN, " ")), F.lit(" "))
-    words = documents.withColumns({"n_words": F.regexp_count(value, F.lit(WORD)).cast("bigint"), "_words": joined})
-    words = words.withColumn("_words", F.when(_gate(F.col("_words")), F.col("_words")))
+    words = documents.withColumn("_words", joined)
+    count = F.when(F.length("_words") > 2, _spaces(F.col("_words")) - 1).otherwise(0)
+    words = words.withColumns({"n_words": count.cast("bigint"), "_words": F.when(_gate(F.col("_words")), F.col("_words"))})
     base = F.flatten(F.array(*[_stated(F.col("_words"), phrase, label) for phrase, label in BASE.items()]))
     looked = words.withColumns(
         {

@@ -54,6 +54,11 @@ TEXTS = [
     "The word license alone; a summit license; permit licensed",
     "x " * 5000 + "under the mit license " + "y " * 5000 + "under the mit license",
     "GPLv2 and MPL 2.0 license, Boost Software License 1.0",
+    "We want to boost our sales",
+    "use the business source of income",
+    "a public cc by attribution desk",
+    "Business Source License 1.1, cc by 4.0, CC BY license",
+    "under the boost license, released under Boost.",
 ]
 
 
@@ -68,6 +73,28 @@ def test_texts_against_brute_force(spark):
         assert 0 <= row.score <= 1 and (row.score > 0) == bool(base or kept)
 
 
+@pytest.mark.parametrize(
+    "text", ["We want to boost our sales", "use the business source of income", "a public cc by attribution desk", "an artistic summit"]
+)
+def test_ordinary_words_are_no_licenses(spark, text):
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert not row.found and row.score == 0 and not row.base
+
+
+def test_a_keyword_is_a_word_and_every_name_has_one():
+    for label, keywords, name in licenses.FAMILIES:
+        assert all(len(word.strip()) >= 3 or " " in word.strip() for word in keywords), label
+        for turn in range(8):
+            line = f" the {minimal(name, turn)} license "
+            assert any(word in line for word in keywords), (label, line)
+
+
+def test_very_long_text(spark):
+    text = "word " * 300_000 + "released under the MIT License. " + "word " * 300_000
+    row = licenses.scan(spark.createDataFrame([(1, text), (2, "x" * 2_000_000)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert row[0].n_words == 600_005 and [d.start for d in row[0].found] == [300_000] and row[1].n_words == 1
+
+
 def test_there_are_hundreds_of_rules():
     assert len(licenses.RULES) > 300 and len({r[3] for r in licenses.RULES}) == len(licenses.RULES)
 
