@@ -2,7 +2,9 @@
 
 Toxic documents go, of near copies one stays, documents with benchmark passages
 go, personal data is replaced, and the rest is mixed to target weights. Every stage keeps
-rows with nulls: a null text is an empty one. ORACLE_SQL is None: the
+rows with nulls: a null text is an empty one. Empty tables stay empty; repeated rows are copies; of rows that tie
+as copies the first by id and then by its place in the table stays; texts of any length are used whole; columns that clash with
+those a stage makes for itself keep their values in all stages but the last. ORACLE_SQL is None: the
 classifier, the alignments and the fitted rates cannot be said in SQL; the tests
 hold each stage against a brute-force version.
 """
@@ -64,12 +66,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its rate in the mixture and a whole number of copies drawn by that rate.
 
     The copies are the rate rounded up or down by a hash of the id, so their mean is the rate;
-    a document of rate 0 has no part in the mixture and goes.
+    a document of rate 0 has no part in the mixture and goes. The rates are settled before anything is asked of them,
+    so no later step computes them again. Columns of documents named like the added ones give way to them.
     """
     found, _ = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    found = settle(found.select("row", "tokens", "rate"), "mixture")
     chance = F.pmod(F.xxhash64("row.doc_id"), F.lit(1 << 20)) / (1 << 20)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("bigint")).alias("copies")
-    return found.filter(F.col("rate") > 0).select("row.*", "tokens", "rate", copies)
+    own = [F.col("row").getField(name).alias(name) for name in docs.columns if name not in ("tokens", "rate", "copies")]
+    return found.filter(F.col("rate") > 0).select(*own, "tokens", "rate", copies)
 
 
 STAGES = [
