@@ -10,11 +10,16 @@ surrogates in every document; a name is taken part by part, so "Mr Ada Hall" and
 
 Collision checks keep entities apart: over all distinct entities no two get the
 same surrogate and none gets another entity of the corpus; whoever collides
-takes the next hash until nobody does. Only those exceptions are looked up; all
-other surrogates are computed in place, so the texts are not shuffled.
+takes the next hash until nobody does. After ``PATIENCE`` hashes a surrogate grows by a character with every further
+one (an IP address takes a port), so a format whose forms are all taken has room again and the search ends. Only
+those exceptions are looked up; all other surrogates are computed in place, so the texts are not shuffled.
+
+The key is the caller's: given, or ``spark.glyphmill.surrogate.key`` of the session. Without either a public one is used,
+with which anyone can repeat the surrogates; that is for tests.
 
 Everything is a DataFrame expression. Defined cases: a null text stays null,
-texts without entities stay as they are, no texts give no entities.
+texts without entities stay as they are, texts of any length are replaced throughout, repeated rows alike; of entities that
+collide at the same attempt the smaller keeps its surrogate; no texts give no entities.
 """
 
 from __future__ import annotations
@@ -45,7 +50,10 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 # What a text must have to hold any entity: one pass of a simple pattern.
 GATE = rf"[0-9@]|AKIA|(?<![\p{{L}}\d]){TITLE}\.?\s\p{{Lu}}"
-KEY = "surrogates-1"
+KEY = "surrogates-1"  # Public, for tests.
+KEY_SETTING = "spark.glyphmill.surrogate.key"
+PATIENCE = 6
+MOST_GROWN = 30
 
 # Syllables of surrogate names by script, and endings by gender.
 SYLLABLES = {
@@ -171,14 +179,24 @@ def _iban_check(country: Column, account: Column) -> Column:
     return F.lpad((F.lit(98) - F.aggregate(characters, F.lit(0), step)).cast("string"), 2, "0")
 
 
-def _email(entity: Column, hashed: Column) -> Column:
+def _growth(letters: str, hashed: Column, attempt: Column) -> Column:
+    """Nothing for the first attempts, then one more character for each."""
+    count = F.greatest(F.least(attempt.cast("int") - PATIENCE, F.lit(MOST_GROWN)), F.lit(0))
+    places = F.slice(F.sequence(F.lit(1), F.lit(MOST_GROWN)), F.lit(1), count)
+    return F.array_join(F.transform(places, lambda i: _pick(letters, _draw(hashed, i + 50))), "")
+
+
+def _email(entity: Column, hashed: Column, grown: Column) -> Column:
     ending = F.regexp_extract(entity, r"\.[a-z]+$", 0)
-    return F.concat(_same_classes(F.substring(entity, F.lit(1), F.length(entity) - F.length(ending)), hashed), ending)
+    drawn = _same_classes(F.substring(entity, F.lit(1), F.length(entity) - F.length(ending)), hashed)
+    return F.concat(F.substring_index(drawn, "@", 1), grown, F.lit("@"), F.substring_index(drawn, "@", -1), ending)
 
 
-def _ip(entity: Column, hashed: Column) -> Column:
+def _ip(entity: Column, hashed: Column, attempt: Column) -> Column:
     octets = F.split(entity, r"\.")
-    return F.array_join(F.transform(octets, lambda _, i: (_draw(hashed, i) % 254 + 1).cast("string")), ".")
+    drawn = F.array_join(F.transform(octets, lambda _, i: (_draw(hashed, i) % 254 + 1).cast("string")), ".")
+    port = F.concat(F.lit(":"), (_draw(hashed, F.lit(20)) % 60000 + 1024).cast("string"))
+    return F.concat(drawn, F.when(attempt > PATIENCE, port).otherwise(""))
 
 
 def _phone(entity: Column, hashed: Column) -> Column:
@@ -187,16 +205,16 @@ def _phone(entity: Column, hashed: Column) -> Column:
     return F.concat(F.substring(entity, F.lit(1), kept), _same_classes(F.substring(entity, kept + 1, F.length(entity)), hashed))
 
 
-def _card(entity: Column, hashed: Column) -> Column:
+def _card(entity: Column, hashed: Column, grown: Column) -> Column:
     """The issuer digit and the length stay; valid numbers stay valid, others stay others."""
-    body = F.concat(F.substring(entity, 1, 1), _same_classes(F.substring(entity, F.lit(2), F.length(entity) - 2), hashed))
+    body = F.concat(F.substring(entity, 1, 1), _same_classes(F.substring(entity, F.lit(2), F.length(entity) - 2), hashed), grown)
     check = _luhn(body)
     return F.concat(body, F.when(F.call_function("luhn_check", entity), check).otherwise(((check.cast("int") + 1) % 10).cast("string")))
 
 
-def _iban(entity: Column, hashed: Column) -> Column:
+def _iban(entity: Column, hashed: Column, grown: Column) -> Column:
     country, account = F.substring(entity, 1, 2), F.substring(entity, F.lit(5), F.length(entity))
-    drawn = _same_classes(account, hashed)
+    drawn = F.concat(_same_classes(account, hashed), grown)
     return F.concat(country, _iban_check(country, drawn), drawn)
 
 
@@ -226,16 +244,18 @@ def _name(type_: Column, hashed: Column, attempt: Column) -> Column:
 def surrogate(type_: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of a normalised entity."""
     hashed = _hash(type_, entity, attempt, key)
+    digits, letters = _growth("0123456789", hashed, attempt), _growth("abcdefghijklmnopqrstuvwxyz", hashed, attempt)
+    secret = F.concat(F.substring(entity, 1, 4), _same_classes(F.substring(entity, F.lit(5), F.length(entity)), hashed))
     return (
-        F.when(type_ == "email", _email(entity, hashed))
-        .when(type_ == "ip", _ip(entity, hashed))
-        .when(type_ == "phone", _phone(entity, hashed))
-        .when(type_ == "card", _card(entity, hashed))
-        .when(type_ == "iban", _iban(entity, hashed))
-        .when(type_ == "hex", _hex(entity, hashed))
-        .when(type_ == "key", F.concat(F.substring(entity, 1, 4), _same_classes(F.substring(entity, F.lit(5), F.length(entity)), hashed)))
+        F.when(type_ == "email", _email(entity, hashed, letters))
+        .when(type_ == "ip", _ip(entity, hashed, attempt))
+        .when(type_ == "phone", F.concat(_phone(entity, hashed), digits))
+        .when(type_ == "card", _card(entity, hashed, digits))
+        .when(type_ == "iban", _iban(entity, hashed, digits))
+        .when(type_ == "hex", F.concat(_hex(entity, hashed), digits))
+        .when(type_ == "key", F.concat(secret, digits))
         .when(type_.startswith("name"), _name(type_, hashed, attempt))
-        .otherwise(_same_classes(entity, hashed))
+        .otherwise(F.concat(_same_classes(entity, hashed), digits))
     )
 
 
@@ -248,6 +268,7 @@ def _formatted(mention: Column, found: Column) -> Column:
         ),
         "",
     )
+    separated = F.concat(separated, F.substring(found, _before(mention, F.length(mention)) + 1, F.length(found)))  # what has grown
     return F.when(mention.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$") | mention.rlike(r"^[\d ()+.\-]+$") & ~mention.rlike(r"\d\.\d+\.\d"), separated).otherwise(
         F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(found)).otherwise(found)
     )
@@ -307,8 +328,9 @@ def resolved(found: DataFrame, key: str = KEY) -> tuple[DataFrame, int]:
             return table.drop("bump"), measured["late"] or 0
 
 
-def replace_entities(texts: DataFrame, text: str = "text", key: str = KEY, count: str = "n_entities") -> DataFrame:
+def replace_entities(texts: DataFrame, text: str = "text", key: str | None = None, count: str = "n_entities") -> DataFrame:
     """``texts`` with surrogates in place of all entities, and how many mentions were replaced."""
+    key = key or texts.sparkSession.conf.get(KEY_SETTING, KEY)
     table, late = resolved(entities(texts, text), key)
     value, attempts = F.col(text), None
     rows = texts
