@@ -46,14 +46,13 @@ _LAST = np.iinfo(np.int64).max  # Stands for a null id, which comes last.
 
 
 def prepared(table: DataFrame, key: str, vector: str, label: Column) -> DataFrame:
-    """``row, vec_id, label, vector`` of the rows that take part, components as whole numbers; settled."""
+    """``row, vec_id, label, vector`` of the rows that take part; settled."""
     rows = table.select(
         F.col(key).cast("bigint").alias("vec_id"), label.cast("bigint").alias("label"), F.col(vector).cast("array<double>").alias("vector")
     )
     whole = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(F.col("label").isNotNull() & F.coalesce(whole, F.lit(False)))
-    scaled = F.transform("vector", lambda x: F.rint(F.floor(x * SCALE).cast("double")))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", scaled.alias("vector"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", "vector")
     return settle(spread(rows), "vectors")
 
 
@@ -61,11 +60,11 @@ def prepared(table: DataFrame, key: str, vector: str, label: Column) -> DataFram
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
-    """Vectors as rows, filled up with zeros."""
+    """Vectors as rows of whole numbers, the components scaled and rounded down; filled up with zeros."""
     rows = [np.asarray(v, np.float64) for v in vectors]
     out = np.zeros((len(rows), width))
     for number, row in enumerate(rows):
-        out[number, : len(row)] = row[:width]
+        out[number, : len(row)] = np.floor(row[:width] * SCALE)
     return out
 
 

@@ -82,6 +82,9 @@ def test_large_components_stay_exact(spark):
     rows = [(k, [float(2**20 + k % 7), float(2**18 - k)], k % 3) for k in range(60)]
     assert found(spark, rows) == brute(rows)
     big = np.array([[2.0**30, 3.0], [1.0, 2.0**29]])
+    far = [(k, [1e25 if k < 3 else 1.0, 1.0], k % 2) for k in range(0, 60, 5)]
+    with pytest.raises(Exception, match="(?i)overflow|too large"):
+        found(spark, far)
     assert H._products(big, big).tolist() == [[2**60 + 9, 2**30 + 3 * 2**29], [2**30 + 3 * 2**29, 2**58 + 1]]
 
 
