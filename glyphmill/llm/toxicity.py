@@ -117,7 +117,7 @@ def labelled_sample(
     # The bound on the rows is the bound on what is broadcast. An id in many rows is thinned before the shuffle.
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
     one = rows.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
-    return settle(one.select("label", "first.text").repartition(FIT_TASKS, "text"), "labelled")
+    return settle(one.repartition(FIT_TASKS, "key").select("label", "first.text"), "labelled")
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
