@@ -114,3 +114,25 @@ def test_equal_windows_have_equal_anchors(count):
     a = next(P.runs([words]))
     b = next(P.runs([[b"other"] * 50 + words]))
     assert set(a["anchor"].tolist()) <= set(b["anchor"].tolist())
+
+
+@pytest.mark.parametrize(("seed", "size", "pack"), [(1, 2, 1 << 16), (2, 3, 64), (3, 30, 100), (4, 8, 1 << 16)])
+def test_dense_repeats_edits_and_pieces(spark, monkeypatch, seed, size, pack):
+    """Few words, texts that repeat themselves, copies with edits of copies; pieces of any size."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(P, "PASSAGE", 20)
+    # Pieces are cut in the workers, where only the number of words is set here: by long texts.
+    words = [f"w{k}" for k in range(size)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 160))] for _ in range(12)]
+    for _ in range(40):
+        copy = list(rng.choice(texts))
+        for _ in range(rng.randint(0, 4)):
+            if copy:
+                copy[rng.randrange(len(copy))] = rng.choice([*words, "new"])
+        start = rng.randint(0, len(copy))
+        texts.append(copy[start:] + rng.choice(texts)[: rng.randint(0, 90)])
+    joined = [" ".join(t) for t in texts]
+    assert found(spark, joined) == brute(joined)
+    monkeypatch.setattr(P, "PACK", pack)
+    split = [P.words_of(t) for t in joined]
+    assert sum(int(np.sum(f["windows"])) for f in P.runs(split)) == sum(max(0, len(w) - 34) for w in split)
