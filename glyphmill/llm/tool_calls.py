@@ -12,8 +12,9 @@ earliest counts (ties: the smaller content), of several calls of one
 identifier the earliest is kept (``link_all`` lists the others too); references to
 calls that do not exist count for no level; calls on a cycle,
 or behind one, have no level and status ``cyclic``; arguments that are
-null or no JSON object are ``malformed``, a tool without schema is ``unknown``;
-a null identifier links with nothing.
+null or no JSON object are ``malformed``, a tool without schema is ``unknown``; whole numbers of up to 38 digits are
+``integer``, longer ones ``number``; texts of any length are written whole; columns beside those named are not
+carried; no calls and no results give no rows; a null identifier links with nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.session import bounded, settle, settle_measured
 
-REFERENCE = r'"\$ref"\s*:\s*"([^"\\]+)"'
+REFERENCE = r'"\$ref"\s*:\s*"((?:[^"\\]++|\\.)++)"'
 
 
 def canonical(json: Column) -> Column:
@@ -32,7 +33,14 @@ def canonical(json: Column) -> Column:
 
 
 def references(arguments: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(arguments, F.lit(REFERENCE), F.lit(1)))
+    """The identifiers referred to, escapes resolved."""
+
+    def plain(raw: Column) -> Column:
+        resolved = F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>")[0]
+        return F.when(raw.contains("\\"), resolved).otherwise(raw)
+
+    found = F.transform(F.regexp_extract_all(arguments, F.lit(REFERENCE), F.lit(1)), plain)
+    return F.array_distinct(F.filter(found, lambda name: name.isNotNull()))
 
 
 def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -110,7 +118,7 @@ def kind_of(value: Column) -> Column:
     shape = F.schema_of_variant(value)
     return (
         F.when(shape == "STRING", F.lit("string"))
-        .when(shape == "BIGINT", F.lit("integer"))
+        .when((shape == "BIGINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$"), F.lit("integer"))  # decimals: beyond 64 bits
         .when(shape == "BOOLEAN", F.lit("boolean"))
         .when(shape == "VOID", F.lit("null"))
         .when(shape.startswith("ARRAY"), F.lit("array"))

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from collections import Counter
 
 from glyphmill.llm import tool_calls as T
@@ -96,3 +97,84 @@ def test_turns_without_a_conversation_link_with_nothing(spark, tmp_path):
     rows = [(r.conv_id, r.status) for r in op9_tool_calls(spark, str(tmp_path)).collect()]
     want = {(None, "unanswered"): 4, (None, "orphan"): 4, (1, "linked"): 2, (1, "unanswered"): 1, (1, "other"): 2}
     assert Counter(rows) == want
+
+
+def test_identifiers_with_escapes(spark):
+    names = ['quo"te', "back\\slash", "tab\there", "ünï😀", "plain", "a" * 20_000]
+    calls = [call("root")] + [call(name, ["root"]) for name in names] + [call(f"of {k}", [name]) for k, name in enumerate(names)]
+    out = linked(spark, calls, [])
+    assert all(out[name].level == 1 for name in names) and all(out[f"of {k}"].level == 2 for k in range(len(names)))
+
+
+def test_whole_numbers_beyond_64_bits_are_integers(spark):
+    given = {"a": "9223372036854775807", "b": "9223372036854775808", "c": "1" * 38, "d": "1.5", "e": '"1"'}
+    out = linked(spark, [call(k, arguments=f'{{"x": {v}}}') for k, v in given.items()], [])
+    assert {k: out[k].problems for k in given} == {
+        "a": [], "b": [], "c": [], "d": ["integer expected:x"], "e": ["integer expected:x"],
+    }
+
+
+def test_statuses_problems_and_json_against_a_plain_version(spark):
+    """Whole rows said once more in Python, over random calls, results and references."""
+    rng = random.Random(11)
+    names = [f"n{k}" for k in range(60)]
+    calls, results = [], []
+    for position, name in enumerate(rng.choices(names, k=90)):
+        tool = rng.choice(["f", "f", "g", "h", None])
+        given = {k: rng.choice([1, "s", 2.5, True, None, [1], {"k": 1}]) for k in rng.sample("xyzalbq", rng.randint(0, 3))}
+        given |= {"refs": [{"$ref": n} for n in rng.sample(names, rng.randint(0, 1))]} if rng.random() < 0.3 else {}
+        arguments = rng.choice([json.dumps(given)] * 6 + ["no json", "[1]", None])
+        calls.append((name, position % 3, position, tool, arguments, 0))
+    for position, name in enumerate(rng.choices([*names, "lost"], k=50)):
+        results.append((name, position, rng.choice(["r", "", None]), "s"))
+    first, answers = {}, {}
+    for row in sorted(calls, key=lambda r: r[2]):
+        first.setdefault(row[0], row)
+    for row in sorted(results, key=lambda r: r[1]):
+        answers.setdefault(row[0], row)
+    needs = {}
+    for name, row in first.items():
+        found = set(re.findall(T.REFERENCE, row[4] or ""))
+        needs[name] = [n for n in found if n in first]
+
+    def level(name, above=()):
+        if name in above:
+            return None
+        below = [level(n, (*above, name)) for n in needs[name]]
+        return None if None in below else max(below, default=-1) + 1
+
+    def kind(value):
+        return {bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object", type(None): "null"}[type(value)]
+
+    def problems(tool, arguments):
+        try:
+            parsed = json.loads(arguments)
+        except (TypeError, ValueError):
+            return ["malformed"]
+        if not isinstance(parsed, dict):
+            return ["malformed"]
+        fields = [s for s in SCHEMAS if s[0] == tool and tool is not None]
+        if not fields:
+            return ["unknown"]
+        out = [f"unexpected:{k}" for k in parsed if k not in {f for _, f, _, _ in fields}]
+        for _, name, wanted, required in fields:
+            if name not in parsed:
+                out += [f"missing:{name}"] if required else []
+            elif kind(parsed[name]) != wanted and (wanted, kind(parsed[name])) != ("number", "integer"):
+                out.append(f"{wanted} expected:{name}")
+        return sorted(out)
+
+    out = linked(spark, calls, results)
+    assert set(out) == set(first) | set(answers)
+    for name, row in out.items():
+        if name not in first:
+            assert row.status == "orphan" and row.level is None and json.loads(row.json)["id"] == name
+            continue
+        _, conv, position, tool, arguments, _ = first[name]
+        assert (row.conv_id, row.position, row.tool, row.level) == (conv, position, tool, level(name))
+        assert row.status == ("cyclic" if row.level is None else "linked" if name in answers else "unanswered")
+        assert row.problems == problems(tool, arguments), (name, arguments)
+        written = json.loads(row.json)
+        assert written.get("result") == (answers[name][2] if name in answers else None) and list(written) == sorted(written)
+        if row.problems != ["malformed"]:
+            assert written["arguments"] == json.dumps(json.loads(arguments), sort_keys=True, separators=(",", ":"))
