@@ -44,13 +44,14 @@ class _Lexicon(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         met: dict[str, list[int]] = {}
         self.pieces = self.pieces or Segmenter(self.ids.value, self.unknown)
+        fresh = not self.known.exists()  # a bucket's first micro-batch has nothing to look up
         for frame in rows:
             parts, new = [], []
             for words, places in zip(frame["words"], frame["places"], strict=True):
                 segmented, pairs = 0, []
                 for word, place in zip(words, places, strict=True):
                     if word not in met:
-                        state = self.known.getValue((word,))
+                        state = None if fresh else self.known.getValue((word,))
                         if state is None:
                             met[word] = list(self.pieces(word))
                             self.known.updateValue((word,), (met[word],))
