@@ -2,7 +2,8 @@
 
 The word rows of a text have to come back together. The texts are therefore
 distributed by their key once, before they are exploded: the broadcast join and
-the regrouping then keep that distribution and move nothing more.
+the regrouping then keep that distribution and move nothing more. A regrouping
+holds the word rows of its task, so the number of tasks follows the number of tokens.
 """
 
 from __future__ import annotations
@@ -20,6 +21,30 @@ from glyphmill.sources.vocabulary import INNER, Vocabulary
 
 KEYS = ("text_id",)
 
+# Fixed value: tokens whose rows a task gathers in memory, some 100 MB of rows.
+TASK_TOKENS = 1 << 19
+# A token is a byte at least, and in most texts about four.
+TOKEN_BYTES = 4
+
+
+def task_count(tokens: int) -> int:
+    """Tasks that gather so many tokens without spilling them."""
+    return max(-(-tokens // TASK_TOKENS), 1)
+
+
+def _many(df: DataFrame, tasks: int) -> bool:
+    """Whether Spark, which sizes partitions by their bytes, might make fewer than ``tasks``."""
+    return tasks > df.sparkSession.sparkContext.defaultParallelism
+
+
+def _tasks_of(texts: DataFrame, text: str, lexicon: Lexicon) -> int:
+    """Tasks for texts with a lexicon that the caller gives: it may be that of far more texts, so these are measured."""
+    tasks = task_count(lexicon.tokens)
+    if not _many(texts, tasks):
+        return tasks
+    size = texts.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    return min(tasks, task_count(size // TOKEN_BYTES))
+
 
 def lookup_ids(tokens: DataFrame, vocabulary: Vocabulary, column: str = "token", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``token_id``: the id of a token, or the unknown id."""
@@ -49,12 +74,13 @@ def _piece_ids(
     max_words: int | None,
     limit: int,
     distributed: bool,
+    tasks: int,
 ) -> DataFrame:
     """``(keys, piece_ids)``: the ids of all pieces of a text, in order."""
     # Only the words that count travel.
     placed = texts.select(*keys, F.col(text) if max_words is None else first_words(F.col(text), max_words).alias(text))
     if not distributed:
-        placed = placed.repartition(*keys)
+        placed = placed.repartition(*([tasks] if _many(placed, tasks) else []), *keys)
     listed = split_words(F.col(text)) if max_words is not None else None
     rows = word_table(placed, keys, text, listed=listed).withColumn("word_key", word_key(F.col("word")))
     near, far = lexicon.split(limit)
@@ -73,10 +99,15 @@ def _piece_ids(
     rare = scanned.withColumn("word_key", word_key(F.col("word"))).join(
         F.broadcast(near.select("word_key")), "word_key", "left_anti"
     )
+    many = _many(texts, tasks)
+    if many:
+        rare, far = (side.repartition(tasks, "word_key") for side in (rare, far))
     # What is left may be larger than the limit, so Spark must not broadcast it by an estimate of its own.
     found = rare.join(far.hint("merge"), "word_key", "left_outer").withColumn(
         "ids", F.coalesce("ids", F.raise_error(F.lit("word missing from the lexicon")).cast("array<int>"))
     )
+    if many:
+        found = found.select(*keys, "wpos", "ids").repartition(tasks, *keys)
     pairs = _pair_list(looked_up, keys, "pairs").join(_pair_list(found, keys, "rare_pairs"), list(keys), "left_outer")
     both = F.when(F.col("rare_pairs").isNull(), F.col("pairs")).otherwise(F.concat("pairs", "rare_pairs"))
     return pairs.select(*keys, in_order(both).alias("piece_ids"))
@@ -111,9 +142,12 @@ def _tokenize(
 ) -> DataFrame:
     if lexicon is None:
         lexicon = build_lexicon(texts, vocabulary, text, max_words, limit)
+        tasks = task_count(lexicon.tokens)
+    else:
+        tasks = _tasks_of(texts, text, lexicon)
     special = vocabulary.special
     ids = F.concat(F.array(F.lit(special.cls)), F.col("piece_ids"), F.array(F.lit(special.sep)))
-    pieces = _piece_ids(texts, lexicon, keys, text, max_words, limit, distributed)
+    pieces = _piece_ids(texts, lexicon, keys, text, max_words, limit, distributed, tasks)
     return pieces.select(*keys, ids.alias("token_ids"))
 
 
