@@ -173,11 +173,11 @@ def tokenize_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokenize_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents as a stream of several files, a micro-batch each: words met before are looked up in the stream's state."""
+    """The documents as a stream of three micro-batches, a file for every core each: words met before are looked up in the stream's state."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    documents = texts(spark, folder)
-    documents.repartition(3, "text_id").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    documents, files_at_once = texts(spark, folder), spark.sparkContext.defaultParallelism
+    documents.repartition(3 * files_at_once, "text_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{path}/in")
     lexicon_state.tokenize_stream(stream, vocabulary(spark, folder), f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("text_id", joined("token_ids").alias("token_ids"))
 
