@@ -230,7 +230,8 @@ def flat_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detokenize(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.detokenize(_tokenized(spark, folder), vocabulary(spark, folder))
+    # Tokenising leaves the texts spread by their key, in tasks of a bounded size.
+    return tokens.detokenize(_tokenized(spark, folder), vocabulary(spark, folder), distributed=True)
 
 
 # --- embedding ------------------------------------------------------------
