@@ -88,12 +88,12 @@ def split_keep_empty(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _delimited(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of each language as one delimited file, in order of their ids, read back: ``(file, position, text)``."""
+    """The documents of each language as one delimited file in parts, in order of their ids, read back: ``(file, position, text)``."""
     path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
     named = table(spark, folder, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", "text")
-    ordered = named.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text")
+    ordered = named.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "text")
     ordered.write.partitionBy("lang").option("lineSep", text_sources.NUL).text(path)
-    return text_sources.read_delimited(spark, path).withColumn("file", F.regexp_extract("file", "lang=([^/]+)", 1))
+    return text_sources.read_delimited(spark, path, parts=True).withColumn("file", F.regexp_extract("file", "lang=([^/]+)", 1))
 
 
 def delimited_file(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,26 +102,31 @@ def _open_ends(spark: SparkSession, path: str, separator: str, ends: DataFrame)
     return sizes.filter(F.col("bytes") > F.col("size")).select("file")
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = "") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, delimiter: str = "", parts: bool = False) -> DataFrame:
     """Delimited files of any size as ``(file, position, text)``, split between tasks at the delimiter.
 
     The texts are those of ``read_whole``: one newline at the very end of a file goes, empty
     texts are left out, and positions count the texts of each file from 0. Files are not compressed ones. Nothing
     is sorted or shuffled but a row per block.
+
+    With ``parts`` a folder is a file: its files, in order of their names, are the parts of one, each of whole
+    texts, and ``file`` names the folder.
     """
-    separator = delimiter_of(delimiter)
+    separator, whole = delimiter_of(delimiter), "folder" if parts else "file"
     pieces, blocks = _numbered(_read(spark, path, separator).drop("size").filter(F.col("text") != ""))
-    blocks = blocks.withColumn("before", _earlier("file"))
+    if parts:
+        blocks = blocks.withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
+    blocks = blocks.withColumn("before", _earlier(whole))
     # A newline that ends a file is part of its last piece, unless a separator follows.
-    lasts = blocks.groupBy("file").agg(F.max(F.struct("block", (F.col("first") + F.col("rows") - 1).alias("row"))).alias("last"))
-    lasts = bounded(lasts.select("file", "last.block", "last.row"), "lasts", F.octet_length("file") + 48)
+    lasts = blocks.groupBy(whole).agg(F.max(F.struct("file", "block", (F.col("first") + F.col("rows") - 1).alias("row"))).alias("last"))
+    lasts = bounded(lasts.select("last.file", "last.block", "last.row"), "lasts", F.octet_length("file") + 48)
     ends = pieces.join(lasts, ["file", "block", "row"]).filter(F.col("text").endswith("\n")).select("file", "block", "row")
     ends = bounded(ends, "ends", F.octet_length("file") + 48)
     closed = pieces.sparkSession.createDataFrame([], "file string") if ends.isEmpty() else _open_ends(spark, path, separator, ends)
     cut = ends.join(closed, "file").select("file", "block", F.col("row").alias("cut"))
     placed = _placed(pieces, blocks.join(cut, ["file", "block"], "left"), "position")
     text = F.when(F.col("row") == F.col("cut"), drop_final_newline(F.col("text"))).otherwise(F.col("text"))
-    return placed.select("file", "position", text.alias("text")).filter(F.col("text") != "")
+    return placed.select(F.col(whole).alias("file"), "position", text.alias("text")).filter(F.col("text") != "")
 
 
 def with_line(texts: DataFrame) -> DataFrame:
