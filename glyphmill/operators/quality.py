@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import vectors as V
 
+# Fixed value: rows of texts and vectors whose keys a task counts in memory.
+PAIRING_ROWS = 1 << 20
+
 
 def with_status(table: DataFrame, column: str = "embedding") -> DataFrame:
     """Add ``status``: ``ok``, ``empty`` or ``not_finite``."""
@@ -39,10 +42,16 @@ def read_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def pairing(texts: DataFrame, vectors: DataFrame, *keys: str) -> DataFrame:
-    """Texts and vectors per key, in one shuffle: ``(keys, texts, vectors)``."""
+    """Texts and vectors per key, in one shuffle: ``(keys, texts, vectors)``.
+
+    Many rows are counted first: keys that hardly repeat fill the memory of a task that counts them, so tasks follow the rows.
+    """
     marked = texts.select(*keys, F.lit(1).alias("texts"), F.lit(0).alias("vectors")).union(
         vectors.select(*keys, F.lit(0), F.lit(1))
     )
+    tasks = -(-marked.count() // PAIRING_ROWS)
+    if tasks > marked.sparkSession.sparkContext.defaultParallelism:
+        marked = marked.repartition(tasks, *keys)
     return marked.groupBy(*keys).agg(F.sum("texts").alias("texts"), F.sum("vectors").alias("vectors"))
 
 
