@@ -40,6 +40,12 @@ def test_state_is_asked_by_the_page(spark, vocabulary_of, stream):
     assert lowered.mapInArrow(L._chunks(4, [1, 2, 3, 4], None, 1 << 20), L._ROWS).count() == 4
 
 
+def test_empty_texts_fill_a_chunk_too(spark):
+    texts = spark.range(100).coalesce(1).selectExpr("id", "'' as _text")
+    rows = texts.mapInArrow(L._chunks(1, [0], None, 10 * L.KEY_CHARS), L._ROWS).collect()
+    assert [len(r.owners) // L._OWNER.size for r in rows] == [10] * 10 and len({r.chunk for r in rows}) == 10
+
+
 @pytest.mark.parametrize("chars, page_words", [(1, 1), (20, 2), (1 << 20, 512)])
 def test_chunks_and_pages_of_any_size(spark, vocabulary_of, stream, monkeypatch, chars, page_words):
     monkeypatch.setattr(L, "CHUNK_CHARS", chars)
